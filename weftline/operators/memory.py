@@ -62,25 +62,24 @@ def compact(df: DataFrame) -> DataFrame:
     return j.withColumn("state_after", F.when(keep, F.col("state")).otherwise("deprecated")).drop("h", "top")
 
 
-def revision_heads(links: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(id, head): the last record each one leads to along (id -> next); cycles end at their smallest id.
+def revision_heads(links: DataFrame) -> DataFrame:
+    """(id, head): the last record each one leads to along (id -> next); a cycle's head is its smallest id.
 
-    Pointer jumping: each round doubles the distance covered, so chains of n need log n joins;
-    every round is written to the shared folder."""
+    Pointer jumping: each round doubles the distance covered, so n records need log n joins;
+    every round is written to the shared folder. An id with several links follows the smallest."""
+    links = links.groupBy("id").agg(F.min("next").alias("next"))
     nodes = links.select("id").unionByName(links.select(F.col("next").alias("id"))).distinct()
-    step = nodes.join(links.groupBy("id").agg(F.min("next").alias("next")), "id", "left").select("id", F.coalesce("next", "id").alias("p"), F.col("id").alias("low"))
+    step = nodes.join(links, "id", "left").select("id", F.coalesce("next", "id").alias("p"), F.col("id").alias("low"))
     step = materialize(step, "heads")
-    for _ in range(max_rounds):
+    for _ in range(max(1, step.count()).bit_length() + 1):
         up = step.select(F.col("id").alias("p"), F.col("p").alias("pp"), F.col("low").alias("plow"))
         nxt = step.join(up, "p").select("id", F.col("pp").alias("p"), F.least("low", "plow").alias("low"), (F.col("pp") != F.col("p")).alias("moved"))
-        nxt = materialize(nxt, "heads")
-        done = nxt.where("moved").isEmpty()
-        step = nxt.drop("moved")
-        if done:
-            return step.select("id", F.col("p").alias("head"))
-    ends = step.alias("a").join(links.select(F.col("id").alias("p")).distinct(), "p", "left_semi")  # still moving: on a cycle
-    cyc = ends.select("id", F.col("low").alias("c"))
-    return step.join(cyc, "id", "left").select("id", F.coalesce("c", "p").alias("head"))
+        step = materialize(nxt, "heads")
+        if step.where("moved").isEmpty():
+            break
+    # A head that leads on lies on a cycle; its own walk covers that cycle and nothing else.
+    ring = step.join(links.select("id"), "id", "left_semi").select(F.col("id").alias("p"), F.col("low").alias("ring"))
+    return step.join(ring, "p", "left").select("id", F.coalesce("ring", "p").alias("head"))
 
 
 def corrected(df: DataFrame, content: Column, at: Column) -> DataFrame:
