@@ -8,6 +8,8 @@ executor-local storage.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,22 +20,31 @@ _WRITTEN: list[str] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster, or a private one in local tests."""
+    """The shared folder of the cluster, or a private one in local tests; a cluster without one is an error."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="weftline-")
+        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
     return f"file://{_OWN[app]}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back; the plan starts anew from the files."""
+    """Write `df` to the shared folder and read it back; the plan starts anew from the files.
+
+    The files live until `release` or the end of the driver.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
 
 
