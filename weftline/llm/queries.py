@@ -11,7 +11,7 @@ from weftline.llm.group_splits import divided_records, record_cell_keys, related
 from weftline.llm.mixing import document_sizes, mix, source_balance
 from weftline.llm.near_duplicates import near_duplicate_groups
 from weftline.llm.sampling import draw_sample, quota_report
-from weftline.llm.split_overlap import split_overlaps
+from weftline.llm.split_overlap import overlap_counts, split_overlaps
 from weftline.llm.subjects import document_subjects
 from weftline.llm.tokens import count_tokens, encode
 from weftline.session import table
@@ -49,19 +49,16 @@ def p2_sample(spark: SparkSession, sf: str) -> DataFrame:
     return draw_sample(table(spark, sf, "records"), table(spark, sf, "sample_targets"), "record_no")
 
 
-def _overlaps(spark: SparkSession, sf: str) -> DataFrame:
-    return split_overlaps(table(spark, sf, "records"), "record_no", "input", "split_name", num=NUM, den=DEN)
-
-
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    o = _overlaps(spark, sf)
+    o = split_overlaps(table(spark, sf, "records"), "record_no", "input", "split_name", num=NUM, den=DEN)
     return o.select(F.least("train_id", "held_id").alias("record_a"), F.greatest("train_id", "held_id").alias("record_b"))
 
 
 def p3_report(spark: SparkSession, sf: str) -> DataFrame:
-    held = table(spark, sf, "records").select(F.col("record_no").alias("held_id"), "split_name", "source")
-    hit = _overlaps(spark, sf).groupBy("held_id").agg(F.count(F.lit(1)).alias("links"))
-    return hit.join(held, "held_id").groupBy("split_name", "source").agg(F.count(F.lit(1)).alias("records"), F.sum("links").alias("pairs"))
+    r = table(spark, sf, "records")
+    held = r.select(F.col("record_no").alias("id"), "split_name", "source")
+    hit = overlap_counts(r, "record_no", "input", "split_name", num=NUM, den=DEN)
+    return hit.join(held, "id").groupBy("split_name", "source").agg(F.count(F.lit(1)).alias("records"), F.sum("links").alias("pairs"))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
