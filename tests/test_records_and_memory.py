@@ -86,3 +86,13 @@ def test_json_filter(spark):
     d = spark.createDataFrame([(1, '{"a": {"b": 2.5}}'), (2, '{"a": {"b": 3.5}}'), (3, '{"a": {"b": "2"}}'), (4, "x"), (5, None), (6, '{"a": {"b": true}}')], "i int, doc string")
     path, op, v = M.parse_filter("a.b__lt=3.0")
     assert [r.i for r in d.where(M.match_json(F.col("doc"), path, v, op)).collect()] == [1]
+
+
+def test_fit_events(spark):
+    from weftline.operators.generation import fit_events
+
+    ev = lambda *xs: [(imp, ts, i, t) for i, (imp, ts, t) in enumerate(xs)]
+    rows = [(1, ev((5, 3, "a" * 10), (9, 1, "b" * 10), (2, 0, "z"), (5, 2, "c" * 10), (4, 9, "dd"))), (2, ev((1, 1, "x" * 99))), (3, []), (4, None), (5, ev((1, 2, "low"), (1, 1, "er")))]
+    d = spark.createDataFrame(rows, "i int, e array<struct<imp:int,ts:long,ord:long,text:string>>")
+    got = {r.i: r.t for r in d.select("i", fit_events(F.col("e"), budget=30, most=8).alias("t")).collect()}
+    assert got[1] == "b" * 10 + " | " + "a" * 10 + " | dd" and got[2] == "x" * 99 and got[3] == got[4] == "" and got[5] == "er | low"
