@@ -15,7 +15,7 @@ HARD = ["don't it's 'tis I'll we've", " \n  a", "a \n\n b\t\tc  ", "　x  y", "<
 
 
 def same(texts):
-    ids, off, _ = MINE.encode_batch(texts)
+    ids, off, _, _ = MINE.encode_batch(texts)
     want = [e.ids for e in LIB.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     assert [ids[off[i] : off[i + 1]] for i in range(len(texts))] == want
 
@@ -42,6 +42,11 @@ def test_round_trip_and_edges(spark):
     got = {r.doc_id: r.ids for r in encode(d, "doc_id", "text").collect()}
     assert all(decode(got[i]) == (t or "") for i, t, _ in rows) and got[len(HARD)] == got[len(HARD) + 1] == []
     assert {r.doc_id: r.tokens for r in count_tokens(d, "doc_id", "text").collect()} == {k: len(v) for k, v in got.items()}
+    for r in encode(d, "doc_id", "text", offsets=True).collect():
+        t = rows[r.doc_id][1] or ""
+        cuts = sorted(set(r.starts)) + [len(t)]
+        assert len(r.starts) == len(r.ids)
+        assert all(decode([i for i, s in zip(r.ids, r.starts) if s == a]) == t[a:b] for a, b in zip(cuts, cuts[1:]))
     assert encode(d.limit(0), "doc_id", "text").count() == 0
 
 

@@ -92,6 +92,10 @@ def p8_counts(spark: SparkSession, sf: str) -> DataFrame:
     return count_tokens(table(spark, sf, "documents"), "doc_id", "text")
 
 
+def p8_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    return encode(table(spark, sf, "documents"), "doc_id", "text", offsets=True)
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return source_balance(document_sizes(table(spark, sf, "documents")), table(spark, sf, "mix_targets")).where("not reachable").select("source")
 
@@ -116,7 +120,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_report, p2_found, p2_quotas, p2_sample, p3_found, p3_report, p4_found, p4_splits, p6_found,
-        p7_found, p7_representatives, p8_ids, p8_counts, p9_found, p9_mix, p9_report, p10_found, p10_composition,
+        p7_found, p7_representatives, p8_ids, p8_counts, p8_offsets, p9_found, p9_mix, p9_report, p10_found, p10_composition,
     )
 }
 

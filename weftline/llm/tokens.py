@@ -114,8 +114,8 @@ class Vocabulary:
                     heapq.heappush(heap, (r, a, len(parts[a]) + len(parts[b])))
         return [ranks[p] for p in parts if p is not None]
 
-    def encode_batch(self, texts: list[str | None]) -> tuple[list[int], np.ndarray, np.ndarray]:
-        """All ids in order, the id offsets of each text, and the character offset where each pretoken starts."""
+    def encode_batch(self, texts: list[str | None]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+        """All ids in order, the id offsets of each text, where each slice starts in the joined texts, and its ids."""
         texts = [t or "" for t in texts]
         whole = "".join(texts)
         char_off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
@@ -137,7 +137,7 @@ class Vocabulary:
             ids += got
             counts[k] = len(got)
         id_at = np.concatenate([[0], np.cumsum(counts)])
-        return ids, id_at[np.searchsorted(at, char_off)], at
+        return ids, id_at[np.searchsorted(at, char_off)], at, counts
 
 
 _HELD: dict[tuple[str, str], Vocabulary] = {}
@@ -150,11 +150,13 @@ def vocabulary(name: str, folder: str) -> Vocabulary:
     return _HELD[name, folder]
 
 
-def encode(df: DataFrame, id_col: str, text_col: str, name: str = "byte_bpe_50k.tiktoken", folder: str = VOCABULARIES) -> DataFrame:
+def encode(df: DataFrame, id_col: str, text_col: str, name: str = "byte_bpe_50k.tiktoken", folder: str = VOCABULARIES, offsets: bool = False) -> DataFrame:
     """(id_col, ids): token ids of every text without special tokens; null and empty texts have an empty list.
 
     Strings that look like special tokens are ordinary text. Texts of any length are encoded
-    whole. Repeated rows are encoded each. Map-only: no shuffle.
+    whole. Repeated rows are encoded each; extra columns are ignored; an empty table gives no
+    rows. With `offsets` a list `starts` goes along: for each id the character where its slice
+    of the text begins, so that a run of ids can be traced back. Map-only: no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,12 +164,19 @@ def encode(df: DataFrame, id_col: str, text_col: str, name: str = "byte_bpe_50k.
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                ids, off, _ = vocab.encode_batch(part.column(1).to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=[id_col, "ids"])
+                texts = part.column(1).to_pylist()
+                ids, off, at, counts = vocab.encode_batch(texts)
+                off = pa.array(off, pa.int32())
+                cols = [part.column(0), pa.ListArray.from_arrays(off, pa.array(ids, pa.int32()))]
+                if offsets:
+                    begin = np.cumsum([0, *[len(t or "") for t in texts]])
+                    local = at - begin[np.searchsorted(begin, at, "right") - 1]
+                    cols.append(pa.ListArray.from_arrays(off, pa.array(np.repeat(local, counts), pa.int32())))
+                yield pa.RecordBatch.from_arrays(cols, names=[id_col, "ids", "starts"][: len(cols)])
 
     kind = dict(df.select(id_col).dtypes)[id_col]
-    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    schema = f"`{id_col}` {kind}, ids array<int>" + ", starts array<int>" * offsets
+    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
 def decode(ids: list[int], name: str = "byte_bpe_50k.tiktoken", folder: str = VOCABULARIES) -> str:
