@@ -5,11 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: ASCII white space, written out so that every engine reads it alike.
 WS = r"[ \t\n\x0B\f\r]"
+_WS_CHARS = " \t\n\x0b\f\r"
 
 
 def scrub_controls(c: Column) -> Column:
@@ -17,14 +17,19 @@ def scrub_controls(c: Column) -> Column:
     return F.regexp_replace(c, r"[\x00-\x08\x0b-\x1f\x7f]", "")
 
 
+def strip(c: Column) -> Column:
+    """Without white space at both ends."""
+    return F.btrim(c, F.lit(_WS_CHARS))
+
+
 def squeeze(c: Column, sep: str = " ") -> Column:
     """Trimmed, every white-space run as one separator."""
-    return F.regexp_replace(F.regexp_replace(c, f"^{WS}+|{WS}+$", ""), f"{WS}+", sep)
+    return F.regexp_replace(strip(c), f"{WS}+", sep)
 
 
 def strip_lines(c: Column) -> Column:
     """The text's lines, trimmed, blank ones dropped."""
-    trimmed = F.transform(F.split(c, "\r\n|\n|\r"), lambda x: F.regexp_replace(x, f"^{WS}+|{WS}+$", ""))
+    trimmed = F.transform(F.split(c, "\r\n|\n|\r"), lambda x: strip(x))
     return F.filter(trimmed, lambda x: x != "")
 
 
@@ -48,7 +53,7 @@ def clean_boilerplate(c: Column) -> Column:
 
 def strip_fence(c: Column) -> Column:
     """A reply without the Markdown fence around it."""
-    t = F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    t = strip(c)
     return F.when(t.startswith("```"), F.regexp_replace(t, f"^```[a-zA-Z]*{WS}*|{WS}*```$", "")).otherwise(t)
 
 
@@ -121,12 +126,6 @@ def paragraph_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return joined.select(id_col, F.concat(F.array_join(F.transform("ps", lambda x: x["p"]), sep), F.lit("\n")).alias(text_col))
 
 
-def word_ngrams(c: Column, n: int) -> Column:
-    """Distinct word n-grams of a text as joined strings."""
-    w = F.filter(F.split(F.lower(squeeze(c)), " "), lambda x: x != "")
-    return F.array_distinct(F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))))
-
-
 def shingles(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     """(id, gram): distinct word n-grams of each text; short and null texts give none."""
     w = df.select(id_col, F.filter(F.split(F.lower(squeeze(F.col(text_col))), " "), lambda x: x != "").alias("w")).where(F.size("w") >= n)
@@ -152,7 +151,7 @@ def leak_report(train: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents without any n-gram of the benchmark. Grams are compared by 64-bit hash on the way, exactly in the end.
+    """Documents without any n-gram of the benchmark; null and short texts are kept.
 
     The benchmark's grams are pre-aggregated; the join is left to the optimizer, which
     broadcasts them only while they are small.
@@ -160,8 +159,3 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, id_col: st
     grams = shingles(benchmark, id_col, text_col, n).select("gram").distinct()
     dirty = shingles(docs, id_col, text_col, n).join(grams, "gram", "left_semi").select(id_col).distinct()
     return docs.join(dirty, id_col, "left_anti")
-
-
-def last_value(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    rn = F.row_number().over(W.partitionBy(*keys).orderBy(*[F.desc(o) for o in order]))
-    return df.withColumn("_rn", rn).where("_rn = 1").drop("_rn")
