@@ -44,3 +44,13 @@ def test_empty_tables(spark):
     assert T.leak_report(T.shingles(df, "doc_id", "text", 3), T.shingles(df, "doc_id", "text", 3)).first().leak_free
     assert T.repetition_fraction(df, "doc_id", "text").count() == 0
     assert T.paragraph_dedup(df).count() == 0
+
+
+def test_positions(spark):
+    from weftline.operators.positions import positions
+
+    d = spark.createDataFrame([(g, i * 7) for g in ("a", None) for i in range(50)] + [("b", 3)], "g string, i long")
+    got = positions(d.repartition(5), ["g"], "i", 40).collect()
+    assert all(r.pos == r.i // 7 and r.group_rows == 50 for r in got if r.g != "b") and len(got) == 101
+    assert sorted(r.pos for r in positions(d, [], "i", 40).collect()) == list(range(101))
+    assert positions(d.limit(0), ["g"], "i").count() == 0

@@ -213,7 +213,7 @@ def stratified_split(df: DataFrame, stratum: str, key: str, val: float = 0.01, e
     w = W.partitionBy(stratum)
     before = F.coalesce(F.sum("_c").over(w.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     tot = tot.withColumns({"_before": before, "_n": F.sum("_c").over(w)}).withColumnRenamed(stratum, "_s").withColumnRenamed("_b", "_bb")
-    j = d.join(F.broadcast(tot), F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_bb")))
+    j = d.join(tot, F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_bb")))
     h = F.sha2(F.coalesce(F.col(key), F.lit("")), 256)
     pos = F.row_number().over(W.partitionBy(stratum, "_b").orderBy(h, key)) + F.col("_before")
     n = F.col("_n")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import memory as M
 from weftline.operators import text as T
+from weftline.operators.positions import positions
 from weftline.session import table
 
 QUERIES, ORACLE = {}, {}
@@ -252,9 +253,8 @@ def weighted_ppl(spark, sf):
 )
 def loss_shards(spark, sf):
     """Means of contiguous shards of each trajectory; the remainder is dropped."""
-    w = W.partitionBy("event_type")
-    e = ev(spark, sf).withColumns({"i": F.row_number().over(w.orderBy("event_id")) - 1, "n": F.count(F.lit(1)).over(w)})
-    shard = F.floor(F.col("i") / F.greatest(F.lit(1), F.floor(F.col("n") / 7)))
+    e = positions(ev(spark, sf).select("event_type", "event_id", "value"), ["event_type"], "event_id")
+    shard = F.floor(F.col("pos") / F.greatest(F.lit(1), F.floor(F.col("group_rows") / 7)))
     return e.withColumn("shard", shard).where("shard < 7").groupBy("event_type", "shard").agg(F.bround(F.avg("value"), 6).alias("loss"))
 
 

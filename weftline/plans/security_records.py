@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import records as R
 from weftline.operators import text as T
+from weftline.operators.positions import positions
 from weftline.plans.corpus import KEY, SQ
 from weftline.session import table
 
@@ -168,12 +169,10 @@ def keyed_dedup(spark, sf):
     f"WITH {_REP} SELECT record_no, format('salvaged-v1-{{:06d}}', row_number() OVER (ORDER BY record_no)) AS new_id, row_number() OVER (ORDER BY record_no) AS new_index FROM s WHERE reason IS NULL"
 )
 def provenance_stamp(spark, sf):
-    """Sequential ids in input order: ranges of record_no are numbered in parallel from their running totals."""
-    d = R.repaired(recs(spark, sf)).where("reason is null").select("record_no", F.floor(F.col("record_no") / 4096).alias("r"))
-    starts = d.groupBy("r").agg(F.count(F.lit(1)).alias("c"))
-    starts = starts.withColumn("before", F.coalesce(F.sum("c").over(W.orderBy("r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    n = F.row_number().over(W.partitionBy("r").orderBy("record_no")) + F.col("before")
-    return d.join(starts, "r").select("record_no", n.alias("new_index")).withColumn("new_id", F.format_string("salvaged-v1-%06d", "new_index"))
+    """Sequential ids in input order."""
+    d = positions(R.repaired(recs(spark, sf)).where("reason is null").select("record_no"), [], "record_no")
+    n = F.col("pos") + 1
+    return d.select("record_no", n.alias("new_index"), F.format_string("salvaged-v1-%06d", n).alias("new_id"))
 
 
 @query(f"WITH {_REP} SELECT record_no, 'ALERT ' || ri || ' | EARLY_WARNING ' || rc || ' RISK=' || rr || ' HARDNESS=' || r_hard AS line, 'You: ' || ri || chr(10) || 'Bot: ' || ra AS block FROM s WHERE reason IS NULL")
@@ -258,7 +257,7 @@ def ordered_tail_split(spark, sf):
     t = t.withColumns({"before": F.coalesce(F.sum("c").over(W.orderBy("event_type", "b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("c").over(W.partitionBy())})
     pos = F.row_number().over(W.partitionBy("event_type", "b").orderBy("h", "event_id")) + F.col("before")
     k = F.floor(F.col("n") * 2 / 100)
-    j = d.join(F.broadcast(t), ["event_type", "b"]).withColumn("pos", pos)
+    j = d.join(t, ["event_type", "b"]).withColumn("pos", pos)
     return j.select("event_id", F.when(F.col("pos") > F.col("n") - k, "eval").when(F.col("pos") > F.col("n") - 2 * k, "val").otherwise("train").alias("split"))
 
 
@@ -267,7 +266,7 @@ def leave_last_sources_out(spark, sf):
     """The last source to eval, the one before to val; the source list is small by nature."""
     d = table(spark, sf, "documents").where("source is not null")
     s = d.select("source").distinct().withColumn("rk", F.row_number().over(W.orderBy(F.desc("source"))))
-    return d.join(F.broadcast(s), "source").select("doc_id", F.when(F.col("rk") == 1, "eval").when(F.col("rk") == 2, "val").otherwise("train").alias("split"))
+    return d.join(s, "source").select("doc_id", F.when(F.col("rk") == 1, "eval").when(F.col("rk") == 2, "val").otherwise("train").alias("split"))
 
 
 @query("SELECT record_no, category, dedup_key FROM records ORDER BY category, dedup_key, record_no")

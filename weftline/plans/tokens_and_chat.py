@@ -199,7 +199,7 @@ def interleave(spark, sf):
         tot = d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"))
         tot = tot.withColumn("r", F.floor(F.col("doc_id") / 1024))
         by = tot.groupBy("r").agg(F.sum("c").alias("rc")).withColumn("rb", F.coalesce(F.sum("rc").over(W.orderBy("r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        tot = tot.join(F.broadcast(by), "r").withColumn("before", F.col("rb") + F.coalesce(F.sum("c").over(W.partitionBy("r").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        tot = tot.join(by, "r").withColumn("before", F.col("rb") + F.coalesce(F.sum("c").over(W.partitionBy("r").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
         at = F.row_number().over(W.partitionBy("doc_id").orderBy("line_no")) - 1
         return d.withColumn("k", at).join(tot.select("doc_id", "before"), "doc_id").select((F.col("k") + F.col("before")).alias("i"), "line")
 
