@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.session import spread
 from weftline.storage import materialize
 
 _MAP = "raw_id long, feed string, file_no int, file_name string, line_no int, readable boolean, id string, field string, kind string, value string"
@@ -63,7 +64,7 @@ def path_values(raw: DataFrame) -> DataFrame:
     false and no field. Repeated keys in an object: the last one counts. Null values give no row.
     """
     need = raw.select("raw_id", "feed", F.col("file_no").cast("int"), "file_name", F.col("line_no").cast("int"), "payload")
-    return need.where("feed is not null and file_no is not null").mapInPandas(_parse, _MAP)
+    return spread(need.where("feed is not null and file_no is not null"), "raw_id").mapInPandas(_parse, _MAP)
 
 
 def file_fields(values: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.operators import text as T
-from weftline.session import table
+from weftline.session import spread, table
 
 QUERIES, ORACLE = {}, {}
 WS = r"[ \t\n\x0B\f\r]"
@@ -28,7 +28,7 @@ def query(sql: str = ""):
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"), "doc_id")
 
 
 @query("SELECT doc_id, regexp_replace(text || chr(1) || chr(13) || chr(127), '[\\x00-\\x08\\x0b-\\x1f\\x7f]', '', 'g') AS clean FROM documents")

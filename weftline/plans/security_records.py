@@ -9,7 +9,7 @@ from weftline.operators import records as R
 from weftline.operators import text as T
 from weftline.operators.positions import positions
 from weftline.plans.corpus import KEY, SQ
-from weftline.session import table
+from weftline.session import spread, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -28,6 +28,11 @@ def recs(spark, sf):
     return table(spark, sf, "records")
 
 
+def repaired(spark, sf):
+    cols = ["record_no", "input", "classification", "risk", "early_warning", "evidence", "analysis", "recommended_action", "confidence", "hardness", "category"]
+    return R.repaired(spread(recs(spark, sf).select(*cols), "record_no"))
+
+
 _L = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
 _HARD = "CASE {0} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in R.HARDNESS.items()) + " END"
 
@@ -77,12 +82,12 @@ _REP = f"{_BASE}, s AS (SELECT *, {_salvage(False)} AS reason, rc IN {_L(R.WARNE
 )
 def repair_records(spark, sf):
     cols = ["record_no", "reason", "r_input", "r_class", "r_risk", "r_early", "r_confidence", "r_hardness", "r_category"]
-    return R.repaired(recs(spark, sf)).select(*cols, R.answer_text().alias("answer"))
+    return repaired(spark, sf).select(*cols, R.answer_text().alias("answer"))
 
 
 @query(f"WITH {_REP} SELECT reason, count(*) AS n, round_even(count(*) * 100.0 / (SELECT count(*) FROM records), 4) AS pct FROM s WHERE reason IS NOT NULL GROUP BY reason")
 def reject_histogram(spark, sf):
-    d = R.repaired(recs(spark, sf)).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    d = repaired(spark, sf).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(W.partitionBy())
     return d.withColumn("pct", F.bround(F.col("n") * 100.0 / total, 4)).where("reason is not null")
 
@@ -90,7 +95,7 @@ def reject_histogram(spark, sf):
 @query(f"WITH {_REP} SELECT rc AS class, count(*) AS records, count(*) FILTER (reason IS NULL) AS kept, count(*) FILTER (reason LIKE 'input%') AS bad_input, count(*) FILTER (reason LIKE 'a%') AS bad_answer FROM s GROUP BY rc")
 def survival_by_class(spark, sf):
     r = F.col("reason")
-    return R.repaired(recs(spark, sf)).groupBy(F.col("r_class").alias("class")).agg(
+    return repaired(spark, sf).groupBy(F.col("r_class").alias("class")).agg(
         F.count(F.lit(1)).alias("records"), F.count_if(r.isNull()).alias("kept"), F.count_if(r.startswith("input")).alias("bad_input"), F.count_if(r.startswith("a")).alias("bad_answer")
     )
 
@@ -101,7 +106,7 @@ def survival_by_class(spark, sf):
 )
 def repair_counters(spark, sf):
     pairs = {"flattened": ("r_input", "input"), "class_case": ("r_class", "classification"), "risk_case": ("r_risk", "risk"), "flag": ("r_early", "early_warning"), "hardness": ("r_hardness", "hardness"), "category": ("r_category", "category"), "confidence": ("r_confidence", "confidence")}
-    d = R.repaired(recs(spark, sf)).where("reason is null")
+    d = repaired(spark, sf).where("reason is null")
     return d.agg(*[F.count_if(F.col(a) != F.col(b)).alias(k) for k, (a, b) in pairs.items()])
 
 
@@ -156,12 +161,12 @@ _FAULTS = {
     + " UNION ALL SELECT 'duplicate_record', count(*) - (SELECT count(*) FROM (SELECT DISTINCT dedup_key FROM records)) FROM records"
 )
 def audit_invariants(spark, sf):
-    return R.audit(recs(spark, sf))
+    return R.audit(spread(recs(spark, sf), "record_no"))
 
 
 @query(f"WITH {_REP}, v AS (SELECT record_no, {KEY('ri')} AS key FROM s WHERE reason IS NULL) SELECT key, min(record_no) AS record_no FROM v GROUP BY key")
 def keyed_dedup(spark, sf):
-    v = R.repaired(recs(spark, sf)).where("reason is null").select("record_no", T.content_key(F.col("r_input")).alias("key"))
+    v = repaired(spark, sf).where("reason is null").select("record_no", T.content_key(F.col("r_input")).alias("key"))
     return T.first_of_each(v, ["key"], ["record_no"])
 
 
@@ -170,14 +175,14 @@ def keyed_dedup(spark, sf):
 )
 def provenance_stamp(spark, sf):
     """Sequential ids in input order."""
-    d = positions(R.repaired(recs(spark, sf)).where("reason is null").select("record_no"), [], "record_no")
+    d = positions(repaired(spark, sf).where("reason is null").select("record_no"), [], "record_no")
     n = F.col("pos") + 1
     return d.select("record_no", n.alias("new_index"), F.format_string("salvaged-v1-%06d", n).alias("new_id"))
 
 
 @query(f"WITH {_REP} SELECT record_no, 'ALERT ' || ri || ' | EARLY_WARNING ' || rc || ' RISK=' || rr || ' HARDNESS=' || r_hard AS line, 'You: ' || ri || chr(10) || 'Bot: ' || ra AS block FROM s WHERE reason IS NULL")
 def alert_and_chat_text(spark, sf):
-    d = R.repaired(recs(spark, sf)).where("reason is null")
+    d = repaired(spark, sf).where("reason is null")
     line = F.format_string("ALERT %s | EARLY_WARNING %s RISK=%s HARDNESS=%d", "r_input", "r_class", "r_risk", "r_hardness")
     return d.select("record_no", line.alias("line"), R.chat_block(F.col("r_input"), F.col("r_analysis")).alias("block"))
 

@@ -51,3 +51,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables under `sf_dir`; columns and filters are pushed into the scan."""
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """`df` over all cores where its scan has fewer partitions than the session has cores.
+
+    Small inputs in few row groups would otherwise leave cores idle; large ones are left as they
+    are, without a shuffle. `by` is a column that differs from row to row.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want, by)
