@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.canon import field_pairs
+from weftline.session import spread
 from weftline.storage import materialize, shuffle_width
 
 _RUNS = "id long, first_id long, part int, run long, key string"
@@ -78,7 +79,8 @@ def format_duplicates(df: DataFrame, id_col: str, text_col: str, partitions: int
     """
     spark = df.sparkSession
     keyed = materialize(
-        df.select(F.col(id_col).cast("long").alias("id"), canonical_key(F.col(text_col)).alias("key"))
+        spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id")
+        .select("id", canonical_key(F.col("text")).alias("key"))
         .where("key is not null")
         .select("id", F.xxhash64("key").alias("h"), "key"),
         "fd-keys",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.canon import word_set
 from weftline.llm.components import connected_components
+from weftline.session import spread
 from weftline.storage import materialize
 
 #: A word in more than max(HOT_FLOOR, HOT_SHARE * rows) records is hot: no join key of its own.
@@ -125,10 +126,9 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text_cols: list[str], num:
     hashed parts of its hot words.
     """
     spark = df.sparkSession
-    sets = materialize(
-        df.select(F.col(id_col).cast("long").alias("id"), word_set(*[F.col(c) for c in text_cols]).alias("toks")),
-        "nd-sets",
-    )
+    texts = df.select(F.col(id_col).cast("long").alias("id"), *[F.col(c).alias(f"t{i}") for i, c in enumerate(text_cols)])
+    words = word_set(*[F.col(f"t{i}") for i in range(len(text_cols))])
+    sets = materialize(spread(texts, "id").select("id", words.alias("toks")), "nd-sets")
     rows = sets.count()
     limit = max(HOT_FLOOR, math.ceil(HOT_SHARE * rows))
     hot_rows = sets.select(F.explode("toks").alias("t")).groupBy("t").count().where(F.col("count") > limit).select("t")

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.session import spread
+
 #: Buckets of hashed word n-grams; labelled documents used for fitting at most; sentences that make a subject.
 BUCKETS, FIT_DOCUMENTS, LEAST_SENTENCES = 1 << 16, 3_000, 3
 
@@ -142,12 +144,16 @@ def fit_subjects(docs: list[tuple[str, str | None, set[str]]], subjects: list[st
                 ids = order[lo : lo + 256]
                 fl = np.concatenate([flat[off[i] : off[i + 1]] for i in ids]) if len(ids) else flat[:0]
                 rw = np.repeat(np.arange(len(ids)), np.diff(off)[ids])
+                sizes = np.diff(off)[ids]
                 s = np.tile(model.bias, (len(ids), 1))
-                np.add.at(s, rw, model.weights[fl] * norm[ids][rw][:, None])
+                full = np.flatnonzero(sizes)
+                if len(full):
+                    at = np.concatenate([[0], np.cumsum(sizes)])[:-1][full]
+                    s[full] += np.add.reduceat(model.weights[fl], at, 0) * norm[ids][full][:, None]
                 e = (1 / (1 + np.exp(-s)) - y[ids]).astype(np.float32)
                 u, inv = np.unique(fl, return_inverse=True)
-                g = np.zeros((len(u), len(subjects)), np.float32)
-                np.add.at(g, inv, e[rw] * norm[ids][rw][:, None])
+                pull = e * norm[ids][:, None]
+                g = np.stack([np.bincount(inv, pull[rw, k], len(u)) for k in range(len(subjects))], 1).astype(np.float32)
                 g += 1e-4 * model.weights[u]
                 g2[u] += g * g
                 model.weights[u] -= 0.5 * g / np.sqrt(g2[u])
@@ -199,4 +205,4 @@ def document_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -
                 pairs = [(d, s) for d, ss in zip(p.doc_id, found) for s in ss]
                 yield pd.DataFrame(pairs, columns=["doc_id", "subject"])
 
-    return docs.select("doc_id", "text", "doc_kind").mapInPandas(run, "doc_id long, subject string")
+    return spread(docs.select("doc_id", "text", "doc_kind"), "doc_id").mapInPandas(run, "doc_id long, subject string")
