@@ -1,6 +1,6 @@
 import json
 
-from weftline.operators.schema_drift import consistent_table, path_values, schema_changes
+from weftline.operators.schema_drift import consistent_table, derived_columns, path_values, schema_changes
 
 RAW = "raw_id long, feed string, file_no int, file_name string, line_no int, payload string, extra string"
 
@@ -52,3 +52,27 @@ def test_table_reports_failed_casts(spark):
     assert {x.record_id: x.hardness for x in t.collect()} == {"r1": 5, "r2": 7, "r3": None, "r4": None}
     assert t.where("record_id = 'r1'").first().recommended_action == "a"
     assert {(x.line_no, x.value) for x in bad.collect()} == {(2, '"many"'), (3, "2.5")}
+
+
+def test_table_has_every_field_of_any_file(spark):
+    a = [obj(i, confidence=i / 10, note=f"n{i}", tags=["t"]) for i in range(6)]
+    b = [obj(i, conf=i / 10, note=f"n{i}", tags=["t"]) for i in range(3, 9)]
+    c = [obj(i, certainty=i / 10, remark=f"n{i}", shift=i) for i in range(6, 12)]
+    c[5] |= {"odd": 1, "confidence": 9.5}
+    other = [(900 + i, "g", 1, "g/1", i, json.dumps(obj(i, certainty=0.5)), "x") for i in range(2)]
+    r = raw(spark, {1: a, 2: b, 3: c}).union(spark.createDataFrame(other, RAW))
+    cols, also = derived_columns(path_values(r), {"id": "string", "confidence": "decimal"})
+    t, bad = consistent_table(r, cols, also)
+    assert bad.count() == 0 and {"note", "shift", "tags"} <= set(t.columns) and not {"conf", "certainty", "remark"} & set(t.columns)
+    rows = {(x.file_name, x.line_no): x for x in t.collect()}
+    assert len(rows) == 20 and all(x.confidence is not None for x in rows.values())
+    assert all(x.note == f"n{x.id[1:]}" for x in rows.values() if x.feed == "f")
+    assert rows["f/3", 0].shift == 6 and rows["f/1", 0].tags == '["t"]'
+    assert rows["f/3", 5].confidence == 9.5 and rows["f/3", 5].rest == {"odd": "1", "certainty": "1.1"} and rows["f/1", 0].rest == {}
+
+
+def test_fields_of_one_file_stay_apart(spark):
+    a, b = [obj(i, x=1, y=2) for i in range(4)], [obj(i, x=1, z=2) for i in range(4)]
+    c, d = [obj(i, x=1, y=2, z=3) for i in range(4)], [obj(i, x=3, q=1) for i in range(4)]
+    cols, _ = derived_columns(path_values(raw(spark, {1: a, 2: b, 5: c, 6: d})), {"id": "string"})
+    assert {"x", "y", "z"} <= set(cols)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,6 +19,8 @@ _MAP = "raw_id long, feed string, file_no int, file_name string, line_no int, re
 PRESENCE = 0.5
 #: Share of the ids in both files whose values must agree for a renaming.
 AGREEMENT = 0.8
+#: Columns that the consistent table may have besides the given ones.
+MOST_COLUMNS = 200
 
 
 def _kind(v) -> str:
@@ -147,26 +150,109 @@ def _typed(kind: str, value: Column) -> Column:
     return text
 
 
-def consistent_table(raw: DataFrame, columns: dict[str, str], aliases: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+def _plain(name: str) -> str:
+    """A field name without case and marks."""
+    return "".join(ch for ch in name.lower() if ch.isalnum())
+
+
+def derived_columns(values: DataFrame, columns: dict[str, str], aliases: dict[str, str] | None = None) -> tuple[dict[str, str], dict[str, str]]:
+    """(columns, aliases) for `consistent_table` from all files: those given, and one column for every other field that a file has.
+
+    Names that the renamings of `schema_changes` link, directly or through others, in any feed
+    are one column: of the given name if one is among them, else of the name that most files
+    have. Names that are fields of the same file, and two given columns, are never joined; the
+    most frequent renamings come first. A new column has the type of most of its values over all
+    files, integer with decimal gives decimal; arrays and objects are JSON strings. Beyond
+    MOST_COLUMNS new columns the rarest have none and stay in `rest`. What comes to the driver
+    grows with the number of names, not of files.
+    """
+    has = materialize(file_fields(values).where("present").select("feed", "file_no", "field", "kind", "held"), "sd-has")
+    linked = schema_changes(values).where("change_kind = 'renamed'").groupBy("old_field", "new_field").count().collect()
+    n = has.select(F.col("field").alias("a"), "feed", "file_no")
+    apart = defaultdict(set)
+    for r in n.join(n.withColumnRenamed("a", "b"), ["feed", "file_no"]).where("a < b").select("a", "b").distinct().collect():
+        if _plain(r.a) != _plain(r.b):
+            apart[_plain(r.a)].add(_plain(r.b))
+            apart[_plain(r.b)].add(_plain(r.a))
+    files, names, kinds = Counter(), defaultdict(Counter), defaultdict(Counter)
+    for r in has.groupBy("field", "kind").agg(F.count(F.lit(1)).alias("files"), F.sum("held").alias("held")).collect():
+        k = _plain(r.field)
+        files[k] += r.files
+        names[k][r.field] += r.files
+        kinds[k][r.kind] += r.held
+    given = {_plain(k): k for k in columns} | {_plain(a): k for a, k in (aliases or {}).items()}
+    group = {k: {k} for k in files.keys() | given.keys() if k}
+
+    def join(a: str, b: str, sure: bool = False) -> None:
+        x, y = group.get(a), group.get(b)
+        if x is None or y is None or x is y:
+            return
+        owners = {given[k] for k in x | y if k in given}
+        if not sure and (len(owners) > 1 or any(apart[k] & y for k in x)):
+            return
+        x |= y
+        for k in y:
+            group[k] = x
+
+    for a, k in given.items():
+        join(_plain(k), a, True)
+    for r in sorted(linked, key=lambda r: (-r["count"], r.old_field, r.new_field)):
+        join(_plain(r.old_field), _plain(r.new_field))
+    cols, also, new = dict(columns), dict(aliases or {}), []
+    for g in {id(g): g for g in group.values()}.values():
+        owner = next((given[k] for k in sorted(g) if k in given), None)
+        if owner is None:
+            most = min(g, key=lambda k: (-files[k], k))
+            name = min(names[most].items(), key=lambda x: (-x[1], x[0]))[0]
+            new.append((-sum(files[k] for k in g), name, g))
+        else:
+            also |= {k: owner for k in g if k != _plain(owner)}
+    taken = {c.lower() for c in cols} | {"raw_id", "feed", "file_no", "file_name", "line_no", "record_id", "rest"}
+    for _, name, g in sorted(new, key=lambda x: x[:2])[:MOST_COLUMNS]:
+        kind = sum((kinds[k] for k in g), Counter())
+        best = min(kind, key=lambda k: (-kind[k], k))
+        col = name
+        while col.lower() in taken:
+            col += "_"
+        taken.add(col.lower())
+        cols[col] = "decimal" if best == "integer" and kind["decimal"] else best if best in ("integer", "decimal", "boolean") else "string"
+        also |= {k: col for k in g}
+    return cols, also
+
+
+def consistent_table(
+    raw: DataFrame, columns: dict[str, str], aliases: dict[str, str] | None = None, values: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(table, failures): every readable line with typed columns, and values that do not cast.
 
     columns: name -> integer, decimal, boolean or string; aliases: other name -> column name,
-    for instance from the renamings of `schema_changes`; names that differ only in case or marks
-    need no alias. Failures are reported as (file_name, line_no, column, kind, value), never
-    dropped silently: the column is null in the table. Lines without a field have null there.
+    for instance from `derived_columns`; names that differ only in case or marks need no alias.
+    Failures are reported as (file_name, line_no, column, kind, value), never dropped silently:
+    the column is null in the table. Lines without a field have null there. `rest` maps every
+    other field of the line to its JSON value: fields without a column, and further names of a
+    column that the line already has. values: `path_values(raw)` where it is written already.
     """
-    values = materialize(path_values(raw).where("readable"), "sd-values")
-    plain = lambda s: "".join(ch for ch in s.lower() if ch.isalnum())
-    known = {plain(k): k for k in columns} | {plain(a): k for a, k in (aliases or {}).items()}
+    values = materialize(path_values(raw), "sd-values") if values is None else values
+    known = {_plain(k): k for k in columns} | {_plain(a): k for a, k in (aliases or {}).items()}
     name = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])[F.lower(F.regexp_replace("field", r"[^\p{L}\p{N}]+", ""))]
-    v = values.withColumn("col", name)
+    v = values.where("readable").withColumn("col", name)
     exact = F.when(F.col("field") == F.col("col"), 0).otherwise(1)
-    pick = lambda c: F.min_by(F.when(F.col("col") == c, F.struct("kind", "value")), F.when(F.col("col") == c, F.struct(exact, "field")))
-    wide = v.groupBy("raw_id", "feed", "file_no", "file_name", "line_no").agg(F.max("id").alias("record_id"), *[pick(c).alias(c) for c in columns])
+    held = {c: f"_{i}" for i, c in enumerate(columns)}  # names of fields may be those of other columns, or hold dots
+    q = lambda c: F.col(held[c])
+    pick = lambda c: F.min_by(F.when(F.col("col") == c, F.struct("field", "kind", "value")), F.when(F.col("col") == c, F.struct(exact, "field")))
+    wide = v.groupBy("raw_id", "feed", "file_no", "file_name", "line_no").agg(
+        F.max("id").alias("record_id"),
+        F.collect_list(F.when(F.col("field").isNotNull(), F.struct("field", "value"))).alias("_all"),
+        *[pick(c).alias(held[c]) for c in columns],
+    )
     wide = materialize(wide, "sd-wide")
-    table = wide.select("raw_id", "feed", "file_no", "file_name", "line_no", "record_id", *[_typed(k, F.col(c)["value"]).alias(c) for c, k in columns.items()])
+    used = F.array(*[q(c)["field"] for c in columns])
+    rest = F.map_from_entries(F.filter("_all", lambda x: ~F.coalesce(F.array_contains(F.array_compact(used), x["field"]), F.lit(False))))
+    table = wide.select(
+        "raw_id", "feed", "file_no", "file_name", "line_no", "record_id", *[_typed(k, q(c)["value"]).alias(c) for c, k in columns.items()], rest.alias("rest")
+    )
     fails = F.filter(
-        F.array(*[F.when(F.col(c).isNotNull() & _typed(k, F.col(c)["value"]).isNull(), F.struct(F.lit(c).alias("column"), F.col(c)["kind"].alias("kind"), F.col(c)["value"].alias("value"))) for c, k in columns.items()]),
+        F.array(*[F.when(q(c).isNotNull() & _typed(k, q(c)["value"]).isNull(), F.struct(F.lit(c).alias("column"), q(c)["kind"].alias("kind"), q(c)["value"].alias("value"))) for c, k in columns.items()]),
         lambda x: x.isNotNull(),
     )
     failures = wide.select("file_name", "line_no", F.explode(fails).alias("f")).select("file_name", "line_no", "f.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators.schema_drift import consistent_table, file_fields, path_values, schema_changes
+from weftline.operators.schema_drift import consistent_table, derived_columns, file_fields, path_values, schema_changes
 from weftline.session import table
 from weftline.storage import materialize
 
@@ -30,12 +30,22 @@ def p5_fields(spark: SparkSession, sf: str) -> DataFrame:
     return file_fields(_values(spark, sf))
 
 
+def _consistent(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    values = _values(spark, sf)
+    return consistent_table(table(spark, sf, "raw_records"), *derived_columns(values, COLUMNS, ALIASES), values)
+
+
 def p5_table(spark: SparkSession, sf: str) -> DataFrame:
-    return consistent_table(table(spark, sf, "raw_records"), COLUMNS, ALIASES)[0]
+    return _consistent(spark, sf)[0]
 
 
 def p5_cast_failures(spark: SparkSession, sf: str) -> DataFrame:
-    return consistent_table(table(spark, sf, "raw_records"), COLUMNS, ALIASES)[1]
+    return _consistent(spark, sf)[1]
+
+
+def p5_rest(spark: SparkSession, sf: str) -> DataFrame:
+    """What has no column: fields left in `rest`, with the number of lines."""
+    return p5_table(spark, sf).select(F.explode("rest").alias("field", "value")).groupBy("field").agg(F.count(F.lit(1)).alias("lines"))
 
 
 def p5_unreadable(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,5 +53,5 @@ def p5_unreadable(spark: SparkSession, sf: str) -> DataFrame:
     return bad.groupBy("feed").agg(F.count(F.lit(1)).alias("unreadable"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_fields, p5_table, p5_cast_failures, p5_unreadable)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_fields, p5_table, p5_cast_failures, p5_rest, p5_unreadable)}
 ORACLE: dict[str, str] = {}
