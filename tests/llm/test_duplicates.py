@@ -111,3 +111,25 @@ def test_overlaps_against_all_pairs(spark):
         per[b] += 1
     assert {r.id: r.links for r in overlap_counts(df, "record_no", "input", "split_name", num=7, den=10).collect()} == per
     assert split_overlaps(df.limit(0), "record_no", "input", "split_name").count() == 0
+
+
+def hot_pairs(rng, n):
+    """Edited values of `n` originals whose words are each in more than 40 other texts: links at 0.70 to 0.85 and just below."""
+    vocab = [f"v{i}" for i in range(300)]
+    out = []
+    for _ in range(n):
+        base = rng.sample(vocab, 60)
+        out.append(" ".join(base))
+        for edits in (5, 8, 10, 11):
+            t = list(base)
+            for i in rng.sample(range(60), edits):
+                t[i] = rng.choice([v for v in vocab if v not in t])
+            out.append(" ".join(t))
+    return out
+
+
+def test_near_duplicates_of_hot_words_against_all_pairs(spark):
+    texts = hot_pairs(random.Random(11), 70)
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    got = {r.id: r.group_id for r in near_duplicate_groups(df, "i", ["t"], 7, 10).collect()}
+    assert [got[i] for i in range(len(texts))] == groups(len(texts), links(texts, 7, 10))

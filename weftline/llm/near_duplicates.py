@@ -15,13 +15,16 @@ from weftline.llm.components import connected_components
 from weftline.session import spread
 from weftline.storage import materialize
 
-#: A word in more than max(HOT_FLOOR, HOT_SHARE * rows) records is hot: no join key of its own.
+#: A word in more than max(HOT_FLOOR, HOT_SHARE * classes) classes is hot: no join key of its own.
 #: At most (words per record) / HOT_SHARE words can be hot, which bounds the broadcast list.
-HOT_FLOOR, HOT_SHARE = 40, 2e-5
-#: Hot words of a record are cut by hash into this many parts; equal parts are join keys too.
-HOT_PARTS = 6
+HOT_FLOOR, HOT_SHARE = 40, 2e-3
+#: Differing hot words that a level allows; beyond, each level is 1.4 times the one before.
+LEVELS = [0, 1, 2, 3, 4, 6, 9, 13, 18, 25]
+while LEVELS[-1] < 10**7:
+    LEVELS.append(LEVELS[-1] * 7 // 5)
 
-_SIG = "id long, n int, sh long, ph long, b0 long, b1 long, rare array<long>, parts array<long>"
+_SIG = "cid long, lo int, hi int, n int, slack long, level int, b0 long, b1 long, hb long, rare array<long>"
+_KEYS = "cid long, own boolean, k long"
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -42,57 +45,85 @@ def _seg(ufunc: np.ufunc, v: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
+def _batch(b: pa.RecordBatch, hot: np.ndarray):
+    """Of a batch of (cid, toks): words, offsets, sizes, keys, record of each word, index in `hot`, whether hot."""
+    lists = b.column(1)
+    off = np.asarray(lists.offsets)
+    tok = np.asarray(lists.values)[off[0] : off[-1]]
+    off = (off - off[0]).astype(np.int64)
+    n = np.diff(off)
+    key = mix64(tok.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    at = np.minimum(np.searchsorted(hot, tok), max(len(hot) - 1, 0))
+    is_hot = hot[at] == tok if len(hot) else np.zeros(len(tok), bool)
+    return off, n, key, np.repeat(np.arange(len(n)), n), at, is_hot
+
+
+def _ints(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
 def _signatures(hot: np.ndarray, num: int, den: int):
-    """A mapInArrow function: prefix, size, set hash and parity bitmap of each record, whole batches at once."""
+    """A mapInArrow function: rare prefix, size, slack, own level and parity bitmaps of each class, whole batches at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(1)
-            off = np.asarray(lists.offsets)
-            tok = np.asarray(lists.values)[off[0] : off[-1]]
-            off = (off - off[0]).astype(np.int64)
-            n = np.diff(off)
-            key = mix64(tok.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+            off, n, key, row, _, is_hot = _batch(b, hot)
             bit = np.uint64(1) << (key & np.uint64(63))
             low = (key >> np.uint64(6)) & np.uint64(1)
-            b0 = _seg(np.bitwise_xor, np.where(low == 0, bit, np.uint64(0)), off)
-            b1 = _seg(np.bitwise_xor, np.where(low == 1, bit, np.uint64(0)), off)
-            with np.errstate(over="ignore"):
-                sh = mix64(_seg(np.add, key, off) + n.astype(np.uint64))
-            at = np.minimum(np.searchsorted(hot, tok), max(len(hot) - 1, 0))
-            is_hot = hot[at] == tok if len(hot) else np.zeros(len(tok), bool)
-            row = np.repeat(np.arange(len(n)), n)
+            part = lambda keep: _seg(np.bitwise_xor, np.where(keep, bit, np.uint64(0)), off)
             # Rare words in hash order come first in the global word order; keep those inside the prefix.
             order = np.lexsort((key, is_hot, row))
-            pos = np.arange(len(tok)) - off[:-1][row]
+            pos = np.arange(len(key)) - off[:-1][row]
             longest = n - -(-(num * n) // den) + 1
             keep = order[(~is_hot[order]) & (pos < longest[row])]
-            rare, rare_row = key[keep], row[keep]
-            counts = np.bincount(rare_row, minlength=len(n))
-            rare_off = np.concatenate([[0], np.cumsum(counts)])
-            with np.errstate(over="ignore"):
-                ph = mix64(_seg(np.add, mix64(rare), rare_off) ^ mix64(n.astype(np.uint64)))
-                part = row * HOT_PARTS + ((key >> np.uint64(7)) % np.uint64(HOT_PARTS)).astype(np.int64)
-                sums = np.zeros(len(n) * HOT_PARTS, np.uint64)
-                np.add.at(sums, part[is_hot], key[is_hot])
-            filled = np.bincount(part[is_hot], minlength=len(sums)) > 0
-            # Without a prefix made of rare words only, the hot parts stand in for its rest.
-            filled &= np.repeat(counts < longest, HOT_PARTS)
-            pk = mix64(sums + np.tile(np.arange(1, HOT_PARTS + 1, dtype=np.uint64), len(n)))[filled]
-            part_off = np.concatenate([[0], np.cumsum(filled.reshape(-1, HOT_PARTS).sum(1))])
-            ints = lambda x: pa.array(x.view(np.int64))
+            rare_off = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(n)))])
+            # Twice a class's share of the words that may differ, without its rare words, in 1 / (num + den).
+            slack = (den - num) * n - (num + den) * np.bincount(row[~is_hot], minlength=len(n))
+            level = np.where(slack < 0, -1, np.searchsorted(LEVELS, 2 * slack // (num + den)))
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column(0), pa.array(n.astype(np.int32)), ints(sh), ints(ph), ints(b0), ints(b1),
-                    pa.ListArray.from_arrays(pa.array(rare_off.astype(np.int32)), ints(rare)),
-                    pa.ListArray.from_arrays(pa.array(part_off.astype(np.int32)), ints(pk)),
+                    b.column(0), b.column(2), b.column(3), pa.array(n.astype(np.int32)), pa.array(slack.astype(np.int64)), pa.array(level.astype(np.int32)),
+                    _ints(part(low == 0)), _ints(part(low == 1)), _ints(part(is_hot)),
+                    pa.ListArray.from_arrays(pa.array(rare_off.astype(np.int32)), _ints(key[keep])),
                 ],
-                names=["id", "n", "sh", "ph", "b0", "b1", "rare", "parts"],
+                names=["cid", "lo", "hi", "n", "slack", "level", "b0", "b1", "hb", "rare"],
             )
 
     return run
 
 
+def _hot_keys(hot: np.ndarray, rank: np.ndarray, top: int, num: int, den: int):
+    """A mapInArrow function: at each level that a class may meet, its hot words dealt into one part more than may differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            off, n, key, row, at, is_hot = _batch(b, hot)
+            slack = (den - num) * n - (num + den) * np.bincount(row[~is_hot], minlength=len(n))
+            own = np.where(slack < 0, -1, np.searchsorted(LEVELS, 2 * slack // (num + den)))
+            # A partner of a higher level makes up for a slack below 0, and is at most den / num as large.
+            first = np.searchsorted(LEVELS, 2 * np.abs(slack) // (num + den))
+            last = np.searchsorted(LEVELS, 2 * (den - num) * (n * den // num) // (num + den))
+            hrow, hkey, hrank = row[is_hot], key[is_hot], rank[at[is_hot]] if len(hot) else at[is_hot]
+            for g in range(top + 1):
+                at_g = np.flatnonzero((first <= g) & (g <= np.maximum(last, own)))
+                if not len(at_g):
+                    continue
+                parts = LEVELS[g] + 1
+                slot = np.full(len(n), -1)
+                slot[at_g] = np.arange(len(at_g))
+                mine = slot[hrow] >= 0
+                sums = np.zeros(len(at_g) * parts, np.uint64)
+                np.add.at(sums, slot[hrow[mine]] * parts + hrank[mine] % parts, hkey[mine])
+                with np.errstate(over="ignore"):
+                    tag = mix64(np.arange(parts, dtype=np.uint64) + np.uint64((g + 1) << 32))
+                    k = mix64(sums + np.tile(tag, len(at_g)))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(np.repeat(at_g, parts))), pa.array(np.repeat(own[at_g] == g, parts)), _ints(k)], names=["cid", "own", "k"]
+                )
+
+    return run
+
+
 def _may_match(na, nb, differ, num: int, den: int):
     """Size filter, and the bitmap bound: parity bits that differ are words that differ."""
     small, large = F.least(na, nb), F.greatest(na, nb)
@@ -111,6 +142,50 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return joined.where(both * den >= num * (F.size("ta") + F.size("tb") - both)).select("a", "b")
 
 
+def linked_classes(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b), a < b: every two of classes (cid, toks, lo, hi) whose word sets reach num/den of their union.
+
+    lo and hi are the least and the greatest side of a class's members; only classes with
+    members on different sides are paired (side 0 with 1), or all where lo = 0 and hi = 1. Exact, with no limit on
+    the size of a group: words are counted over classes and are rare or hot. Two classes that
+    reach num/den and share a rare word share one inside both prefixes (rare words first). Two
+    that share none differ in all their rare words, which leaves a bounded number d of hot
+    words that may differ; the hot words are dealt into more than d parts by their rank, so one
+    part at least is equal, empty ones included. d is half from either class: each pair meets at
+    the level of the class that allows more. Size and parity bitmaps filter, then whole sets are compared.
+    """
+    spark = classes.sparkSession
+    limit = max(HOT_FLOOR, math.ceil(HOT_SHARE * classes.count()))
+    hot_rows = classes.select(F.explode("toks").alias("t")).groupBy("t").count().where(F.col("count") > limit)
+    found = np.array([tuple(r) for r in hot_rows.toLocalIterator()], np.int64).reshape(-1, 2)
+    found = found[np.argsort(found[:, 0])]
+    rank = np.empty(len(found), np.int64)
+    rank[np.lexsort((found[:, 0], -found[:, 1]))] = np.arange(len(found))
+    shared = spark.sparkContext.broadcast((found[:, 0].astype(np.int32), rank))
+    given = classes.select("cid", "toks", "lo", "hi")
+    sig = materialize(given.mapInArrow(lambda it: _signatures(shared.value[0], num, den)(it), _SIG), "nd-signatures")
+    top = sig.agg(F.max("level")).first()[0]
+    top = -1 if top is None else top
+    keys = given.mapInArrow(lambda it: _hot_keys(*shared.value, top, num, den)(it), _KEYS)
+    side = lambda d, s: d.select("k", *[F.col(c).alias(c + s) for c in d.columns if c != "k"])
+    sides = ((F.col("lo_x") == 0) & (F.col("hi_y") == 1)) | ((F.col("lo_y") == 0) & (F.col("hi_x") == 1))
+    apart = lambda b: F.bit_count(F.col(f"{b}_x").bitwiseXOR(F.col(f"{b}_y")))
+    rare = sig.select(F.explode("rare").alias("k"), "cid", "lo", "hi", "n", "b0", "b1")
+    by_rare = side(rare, "_x").join(side(rare, "_y"), "k").where(
+        (F.col("cid_x") < F.col("cid_y")) & sides & _may_match(F.col("n_x"), F.col("n_y"), apart("b0") + apart("b1"), num, den)
+    )
+    hot = keys.join(sig.select("cid", "lo", "hi", "n", "slack", "hb"), "cid")
+    hot = materialize(hot.select("k", "cid", "own", "lo", "hi", "n", "slack", "hb"), "nd-hot")
+    by_hot = side(hot, "_x").join(side(hot, "_y"), "k").where(
+        (F.col("cid_x") < F.col("cid_y")) & sides & (F.col("own_x") | F.col("own_y"))
+        & (apart("hb") * (num + den) <= F.col("slack_x") + F.col("slack_y"))
+        & _may_match(F.col("n_x"), F.col("n_y"), F.lit(0), num, den)
+    )
+    ab = [F.col("cid_x").alias("a"), F.col("cid_y").alias("b")]
+    pairs = by_rare.select(*ab).unionByName(by_hot.select(*ab)).distinct()
+    return verified(pairs, classes.select(F.col("cid").alias("id"), "toks"), num, den)
+
+
 def near_duplicate_groups(df: DataFrame, id_col: str, text_cols: list[str], num: int = 8, den: int = 10) -> DataFrame:
     """(id, class_id, group_id, links_class): every record, its class of equal word sets and its near-duplicate group.
 
@@ -118,62 +193,19 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text_cols: list[str], num:
     both; a group is all that is linked, named by its smallest id. Records without any word
     (null or empty texts) link to nothing. Ties and repeated rows fall into one class.
 
-    Plan: one pass hashes the words and writes the sets; word frequencies are counted over all
-    records with map-side combining; equal sets collapse to a class; classes with the same
-    rare-word prefix and size collapse to a group; groups sharing a prefix word are joined and
-    filtered by size and by bounds on their members' parity bitmaps; what remains is expanded to
-    members and verified exactly. A record whose prefix reaches into hot words also joins on the
-    hashed parts of its hot words.
+    Plan: one pass hashes the words and writes the sets; equal sets collapse to a class;
+    `linked_classes` finds every two classes that are linked, exactly.
     """
-    spark = df.sparkSession
     texts = df.select(F.col(id_col).cast("long").alias("id"), *[F.col(c).alias(f"t{i}") for i, c in enumerate(text_cols)])
     words = word_set(*[F.col(f"t{i}") for i in range(len(text_cols))])
-    sets = materialize(spread(texts, "id").select("id", words.alias("toks")), "nd-sets")
-    rows = sets.count()
-    limit = max(HOT_FLOOR, math.ceil(HOT_SHARE * rows))
-    hot_rows = sets.select(F.explode("toks").alias("t")).groupBy("t").count().where(F.col("count") > limit).select("t")
-    hot = np.sort(np.array([r[0] for r in hot_rows.toLocalIterator()], np.int32))
-    shared = spark.sparkContext.broadcast(hot)
-    sig = materialize(sets.mapInArrow(lambda it: _signatures(shared.value, num, den)(it), _SIG), "nd-signatures")
-
+    sets = spread(texts, "id").select("id", words.alias("toks"))
+    sig = materialize(sets.select("id", F.size("toks").alias("n"), F.xxhash64("toks").alias("sh"), "toks"), "nd-sets")
     classes = materialize(
-        sig.where("n > 0").groupBy("sh").agg(
-            F.min("id").alias("cid"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("ph").alias("ph"),
-            F.first("b0").alias("b0"), F.first("b1").alias("b1"), F.first("rare").alias("rare"), F.first("parts").alias("parts"),
-        ),
+        sig.where("n > 0").groupBy("sh").agg(F.min("id").alias("cid"), F.count(F.lit(1)).alias("copies"), F.first("toks").alias("toks")),
         "nd-classes",
-    )
-    prefixed = classes.where(F.size("rare") > 0)
-    groups = prefixed.groupBy("ph", "n").agg(
-        F.min("cid").alias("g"), F.count(F.lit(1)).alias("members"), F.first("rare").alias("rare"),
-        *[F.bit_and(b).alias(f"{b}a") for b in ("b0", "b1")], *[F.bit_or(b).alias(f"{b}o") for b in ("b0", "b1")],
-    )
-    posts = groups.select(F.explode("rare").alias("k"), "g", "n", "b0a", "b0o", "b1a", "b1o")
-    side = lambda d, s: d.select("k", *[F.col(c).alias(c + s) for c in d.columns if c != "k"])
-    x = side(posts, "_x").join(side(posts, "_y"), "k").where("g_x < g_y")
-    sure = lambda b: F.bit_count(
-        F.col(f"{b}a_x").bitwiseAND(F.bitwise_not(f"{b}o_y")).bitwiseOR(F.col(f"{b}a_y").bitwiseAND(F.bitwise_not(f"{b}o_x")))
-    )
-    group_pairs = x.where(_may_match(F.col("n_x"), F.col("n_y"), sure("b0") + sure("b1"), num, den)).select("g_x", "g_y").distinct()
-
-    members = prefixed.select("cid", "ph", "n", "b0", "b1").join(
-        groups.select("ph", "n", "g", "members"), ["ph", "n"]
     )
-    exact = F.bit_count(F.col("b0_x").bitwiseXOR(F.col("b0_y"))) + F.bit_count(F.col("b1_x").bitwiseXOR(F.col("b1_y")))
-    close = _may_match(F.col("n_x"), F.col("n_y"), exact, num, den)
-    ab = [F.least("cid_x", "cid_y").alias("a"), F.greatest("cid_x", "cid_y").alias("b")]
-    m = members.select("g", "cid", "n", "b0", "b1")
-    tag = lambda d, s: d.select(*[F.col(c).alias(c + s) for c in d.columns])
-    across = group_pairs.join(tag(m, "_x"), "g_x").join(tag(m, "_y"), "g_y").where(close).select(*ab)
-    many = members.where("members > 1").select("g", "cid", "n", "b0", "b1")
-    within = many.select("g", *[F.col(c).alias(c + "_x") for c in ("cid", "n", "b0", "b1")]).join(
-        many.select("g", *[F.col(c).alias(c + "_y") for c in ("cid", "n", "b0", "b1")]), "g"
-    ).where("cid_x < cid_y").where(close).select(*ab)
-    fall = classes.select(F.explode("parts").alias("k"), "cid", "n", "b0", "b1")
-    by_parts = side(fall, "_x").join(side(fall, "_y"), "k").where("cid_x < cid_y").where(close).select(*ab)
-
-    pairs = across.unionByName(within).unionByName(by_parts).distinct()
-    edges = materialize(verified(pairs, sets, num, den), "nd-edges")
+    every = classes.select("cid", "toks", F.lit(0).alias("lo"), F.lit(1).alias("hi"))
+    edges = materialize(linked_classes(every, num, den), "nd-edges")
     comp = connected_components(edges, "a", "b")
     owner = classes.select("sh", F.col("cid").alias("class_id"), "copies").join(
         comp.select(F.col("node").alias("class_id"), "root"), "class_id", "left"
