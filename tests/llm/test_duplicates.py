@@ -133,3 +133,19 @@ def test_near_duplicates_of_hot_words_against_all_pairs(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
     got = {r.id: r.group_id for r in near_duplicate_groups(df, "i", ["t"], 7, 10).collect()}
     assert [got[i] for i in range(len(texts))] == groups(len(texts), links(texts, 7, 10))
+
+
+def test_overlaps_of_crowded_spans_against_all_pairs(spark):
+    rng = random.Random(13)
+    base = [f"k{i}=v{i}" for i in range(30)]
+    texts = hot_pairs(rng, 40)
+    for i in range(80):
+        t = list(base)
+        for j in rng.sample(range(30), rng.randint(2, 6)):
+            t[j] = f"k{j}=e{i}x{j}"
+        texts.append(" ".join(t))
+    splits = ["train" if i % 2 else "eval" for i in range(len(texts))]
+    df = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(zip(texts, splits))], "i long, t string, s string")
+    want = {(a, b) if splits[a] == "train" else (b, a) for a, b in links([t.replace("=", " ") for t in texts], 7, 10) if splits[a] != splits[b]}
+    got = {(r.train_id, r.held_id) for r in split_overlaps(df, "i", "t", "s", num=7, den=10).collect()}
+    assert len(want) > 300 and got == want

@@ -1,38 +1,15 @@
-"""Records shared between splits, exactly or nearly (problem 3), from a partitioned suffix array."""
+"""Records shared between splits, exactly or nearly (problem 3), by an exact set-similarity join."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.canon import field_pairs, word_set, words
-from weftline.llm.near_duplicates import verified
+from weftline.functions.canon import word_set
+from weftline.llm.near_duplicates import linked_classes
 from weftline.session import spread
 from weftline.storage import materialize
 
-#: Pairs in the head of a suffix, and how many suffixes of a record (smallest heads first) are sorted.
-HEAD, SUFFIXES = 3, 12
-#: A head that more classes than this share is told apart by twice as long a head.
-CROWD = 32
-
-
-def with_suffix_heads(df: DataFrame, text_col: str, out: str = "heads", head: int = HEAD, keep: int = SUFFIXES) -> DataFrame:
-    """Adds the hashed heads (h, and longer: twice the span) of a record's suffixes, content-sampled: the `keep` smallest.
-
-    The record is written as its field-value pairs in hash order (words in order where it has
-    no fields), so moved fields and events change nothing and an edited value breaks only the
-    heads that hold it. Two texts that share a head share a span of `head` elements.
-    Steps are columns of their own: inside a lambda they would be evaluated per element.
-    """
-    c = F.col(text_col)
-    step = df.withColumn("_pairs", field_pairs(c))
-    step = step.withColumn("_seq", F.when(F.size("_pairs") >= head, F.col("_pairs")).otherwise(words(c)))
-    step = step.withColumn("_seq", F.array_sort(F.transform("_seq", lambda p: F.xxhash64(p))))
-    last = F.greatest(F.size("_seq") - head, F.lit(0))
-    span = lambda i, n: F.xxhash64(*[F.get("_seq", i + j) for j in range(n)])
-    heads = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(span(i, head).alias("h"), span(i, 2 * head).alias("longer")))
-    return step.withColumn(out, heads).withColumn(out, F.slice(F.array_sort(out), 1, keep)).drop("_pairs", "_seq")
-
 
 def _overlap_classes(df: DataFrame, id_col: str, text_col: str, split_col: str, train: str, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(members (id, side, cid), hits (a, b)): records with their class of equal word sets, and pairs of
@@ -41,22 +18,17 @@ def _overlap_classes(df: DataFrame, id_col: str, text_col: str, split_col: str,
     base = df.where(F.col(split_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), side.alias("side"), F.col(text_col).alias("text")
     )
-    rows = with_suffix_heads(spread(base, "id"), "text").withColumn("toks", word_set(F.col("text"))).drop("text")
+    rows = spread(base, "id").select("id", "side", word_set(F.col("text")).alias("toks"))
     rows = materialize(rows.where(F.size("toks") > 0).withColumn("sh", F.xxhash64("toks")), "so-rows")
     classes = materialize(
         rows.groupBy("sh").agg(
-            F.min("id").alias("cid"), F.min("side").alias("lo"), F.max("side").alias("hi"), F.first("heads").alias("heads")
+            F.min("id").alias("cid"), F.min("side").alias("lo"), F.max("side").alias("hi"), F.first("toks").alias("toks")
         ),
         "so-classes",
     )
-    suffixes = classes.select(F.explode("heads").alias("s"), "cid", "lo", "hi").select("s.h", "s.longer", "cid", "lo", "hi")
-    crowded = suffixes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD)
-    key = F.when(F.col("n").isNull(), F.col("h")).otherwise(F.xxhash64("h", "longer"))
-    suffixes = materialize(suffixes.join(crowded, "h", "left").select(key.alias("h"), "cid", "lo", "hi"), "so-suffixes")
-    t = suffixes.where("lo = 0").select("h", F.col("cid").alias("a"))
-    e = suffixes.where("hi = 1").select("h", F.col("cid").alias("b"))
-    covered = t.join(e, "h").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared_spans"))
-    near = verified(covered.select("a", "b"), rows.select("id", "toks"), num, den)
+    links = materialize(linked_classes(classes, num, den), "so-links")
+    links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = links.join(classes.where("lo = 0").select(F.col("cid").alias("a")), "a").join(classes.where("hi = 1").select(F.col("cid").alias("b")), "b").select("a", "b")
     same = classes.where("lo = 0 and hi = 1").select(F.col("cid").alias("a"), F.col("cid").alias("b"))
     hits = materialize(near.unionByName(same).distinct(), "so-hits")
     return rows.select("id", "side", "sh").join(classes.select("sh", "cid"), "sh").select("id", "side", "cid"), hits
@@ -69,10 +41,7 @@ def split_overlaps(df: DataFrame, id_col: str, text_col: str, split_col: str, tr
     a pair once. Texts equal as word sets collapse to one class before any join and are expanded
     only in the result. Extra columns are ignored; an empty table gives no pairs.
 
-    Each class contributes its sampled suffixes; sorted by head, suffixes of the two sides that
-    fall next to each other share a span. A head that very many classes share (boilerplate) would
-    pair unrelated records, so there the comparison goes on to a head of twice the length. Shared spans are merged into a coverage count per pair
-    of classes, and every covered pair is verified on its whole word sets.
+    Pairs of classes come from `linked_classes`, which misses none, whatever the size of a family.
     """
     member, hits = _overlap_classes(df, id_col, text_col, split_col, train, num, den)
     return (
