@@ -50,10 +50,15 @@ def stream_quarantine(spark, sf):
     return spark.read.parquet(f"{_intake(spark, sf)}/quarantined").select("id", "tier", "text")
 
 
-def _events_stream(spark, sf):
+def _events_stream(spark, sf, flush=False):
+    """flush: a last row without key, 400 days on, moves the watermark past all others, so that nothing stays open but its own state."""
     e = table(spark, sf, "events")
     w = work(spark)
     e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value").write.parquet(f"{w}/events")
+    if flush:
+        last = spark.read.parquet(f"{w}/events").agg((F.max("ts") + F.expr("interval 400 days")).alias("ts")).where("ts is not null")
+        none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+        last.select(none("long", "event_id"), "ts", none("long", "user_id"), none("string", "event_type"), none("double", "value")).write.mode("append").parquet(f"{w}/events")
     return spark.readStream.schema("event_id long, ts timestamp, user_id long, event_type string, value double").parquet(f"{w}/events"), w
 
 
@@ -71,13 +76,13 @@ def stream_dedup(spark, sf):
 
 @query()
 def stream_sessions(spark, sf):
-    s, w = _events_stream(spark, sf)
+    s, w = _events_stream(spark, sf, flush=True)
     return _finish(P.session_stream(s, "user_id", "ts"), w)
 
 
 @query()
 def stream_windows(spark, sf):
-    s, w = _events_stream(spark, sf)
+    s, w = _events_stream(spark, sf, flush=True)
     return _finish(P.windowed_counts(s, "ts", "event_type").select("window.start", "event_type", "n"), w)
 
 

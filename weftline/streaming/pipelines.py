@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from weftline.operators.memory import drift, feedback_errors
 from weftline.sources.readers import inbox_rows
@@ -40,26 +36,14 @@ def dedup_stream(rows: DataFrame, key: str, time: str, watermark: str = "7 days"
 
 
 def session_stream(rows: DataFrame, session: str, time: str, ttl_ms: int = 24 * 3_600_000, watermark: str = "1 hour") -> DataFrame:
-    """(session, rows, first_at, last_at) of sessions that ended: `ttl_ms` of event time without a new row."""
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            n, first, last = state.get
-            state.remove()
-            yield pd.DataFrame({"session": [key[0]], "rows": [n], "first_at": [pd.Timestamp(first, unit="ms")], "last_at": [pd.Timestamp(last, unit="ms")]})
-            return
-        n, first, last = state.get if state.exists else (0, 1 << 62, 0)
-        for b in batches:
-            ms = b["at"].astype("datetime64[ms]").astype("int64")
-            n, first, last = n + len(b), min(first, int(ms.min())), max(last, int(ms.max()))
-        state.update((n, first, last))
-        state.setTimeoutTimestamp(max(last + ttl_ms, state.getCurrentWatermarkMs() + 1))
+    """(session, rows, first_at, last_at) of sessions that ended: `ttl_ms` of event time without a new row.
 
+    A gap of `ttl_ms` or more parts sessions, whether its rows come in one batch or in several."""
     r = rows.select(F.col(session).alias("session"), F.col(time).cast("timestamp").alias("at")).withWatermark("at", watermark)
-    kind = dict(r.dtypes)["session"]
-    return r.groupBy("session").applyInPandasWithState(
-        step, f"session {kind}, rows long, first_at timestamp, last_at timestamp", "n long, first long, last long", "append", GroupStateTimeout.EventTimeTimeout
+    ended = r.groupBy("session", F.session_window("at", f"{ttl_ms} milliseconds")).agg(
+        F.count(F.lit(1)).alias("rows"), F.min("at").alias("first_at"), F.max("at").alias("last_at")
     )
+    return ended.select("session", "rows", "first_at", "last_at")
 
 
 def windowed_counts(rows: DataFrame, time: str, key: str, length: str = "1 day", watermark: str = "2 days") -> DataFrame:
