@@ -128,14 +128,37 @@ def hot_pairs(rng, n):
     return out
 
 
-def test_near_duplicates_of_hot_words_against_all_pairs(spark):
+@pytest.mark.parametrize("hot", [20, 1000])
+def test_near_duplicates_of_hot_words_against_all_pairs(spark, hot):
     texts = hot_pairs(random.Random(11), 70)
     df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
-    got = {r.id: r.group_id for r in near_duplicate_groups(df, "i", ["t"], 7, 10).collect()}
+    got = {r.id: r.group_id for r in near_duplicate_groups(df, "i", ["t"], 7, 10, hot=hot).collect()}
     assert [got[i] for i in range(len(texts))] == groups(len(texts), links(texts, 7, 10))
 
 
-def test_overlaps_of_crowded_spans_against_all_pairs(spark):
+def test_pairs_of_a_small_vocabulary_are_found(spark):
+    """300 pairs at a similarity of 0.714 over 400 words that all are hot; and four fields of twelve words with one edit each."""
+    rng = random.Random(17)
+    texts = []
+    for _ in range(300):
+        base = rng.sample(range(400), 48)
+        edited = base[:40] + [v for v in rng.sample(range(400), 60) if v not in base][:8]
+        texts += [" ".join(f"v{v}" for v in base), " ".join(f"v{v}" for v in edited)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    got = {r.id: r.group_id for r in near_duplicate_groups(df, "i", ["t"], 7, 10, hot=25).collect()}
+    assert sum(got[2 * i] == got[2 * i + 1] for i in range(300)) == 300
+    fields = []
+    for i in range(100):
+        f = [[f"a{i}f{k}w{j}" for j in range(12)] for k in range(4)]
+        g = [[*x[:5], f"e{i}x{k}", *x[6:]] for k, x in enumerate(f)]
+        fields += ["; ".join(f"F{k}: " + " ".join(x) for k, x in enumerate(t)) for t in (f, g)]
+    rows = [(i, t, "val" if i % 2 else "train") for i, t in enumerate(fields)]
+    got = {(r.train_id, r.held_id) for r in split_overlaps(spark.createDataFrame(rows, "i long, t string, s string"), "i", "t", "s", num=7, den=10).collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(100)}
+
+
+@pytest.mark.parametrize("hot", [15, 1000])
+def test_overlaps_of_crowded_spans_against_all_pairs(spark, hot):
     rng = random.Random(13)
     base = [f"k{i}=v{i}" for i in range(30)]
     texts = hot_pairs(rng, 40)
@@ -147,5 +170,5 @@ def test_overlaps_of_crowded_spans_against_all_pairs(spark):
     splits = ["train" if i % 2 else "eval" for i in range(len(texts))]
     df = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(zip(texts, splits))], "i long, t string, s string")
     want = {(a, b) if splits[a] == "train" else (b, a) for a, b in links([t.replace("=", " ") for t in texts], 7, 10) if splits[a] != splits[b]}
-    got = {(r.train_id, r.held_id) for r in split_overlaps(df, "i", "t", "s", num=7, den=10).collect()}
+    got = {(r.train_id, r.held_id) for r in split_overlaps(df, "i", "t", "s", num=7, den=10, hot=hot).collect()}
     assert len(want) > 300 and got == want

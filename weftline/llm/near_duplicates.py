@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,21 +9,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.canon import word_set
+from weftline.functions.canon import word_set, words
 from weftline.llm.components import connected_components
 from weftline.session import spread
 from weftline.storage import materialize
 
-#: A word in more than max(HOT_FLOOR, HOT_SHARE * classes) classes is hot: no join key of its own.
-#: At most (words per record) / HOT_SHARE words can be hot, which bounds the broadcast list.
-HOT_FLOOR, HOT_SHARE = 40, 2e-3
-#: Differing hot words that a level allows; beyond, each level is 1.4 times the one before.
-LEVELS = [0, 1, 2, 3, 4, 6, 9, 13, 18, 25]
-while LEVELS[-1] < 10**7:
-    LEVELS.append(LEVELS[-1] * 7 // 5)
+#: A word in more than HOT classes (or in words / MOST_HOT, where that is more) is hot: no join key of its own.
+#: So at most MOST_HOT words are hot, which bounds what is broadcast: 20 bytes a word.
+HOT, MOST_HOT = 1000, 4_000_000
+#: A part of hot words that more classes than WEAK would hold by chance is a key only together with another such part.
+WEAK = 30.0
+#: Each level allows LEVEL_STEP times the differing words of the next higher one; none is below LEAST_LEVEL.
+LEVEL_STEP, LEAST_LEVEL = 0.6, 6
+#: Candidate records up to this number are broadcast when their word sets are fetched: 8 bytes each.
+BROADCAST_IDS = 1_000_000
+#: Classes handled at once by NumPy.
+SLICE = 4096
 
-_SIG = "cid long, lo int, hi int, n int, slack long, level int, b0 long, b1 long, hb long, rare array<long>"
-_KEYS = "cid long, own boolean, k long"
+_POST = "k long, cid long, meta long, b0 long, b1 long"
+#: Flags in the lowest bits of meta: lo = 0, hi = 1, the level is the class's own, the key is a rare word.
+LO, HI, OWN, RARE = 1, 2, 4, 8
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -45,148 +49,238 @@ def _seg(ufunc: np.ufunc, v: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def _batch(b: pa.RecordBatch, hot: np.ndarray):
-    """Of a batch of (cid, toks): words, offsets, sizes, keys, record of each word, index in `hot`, whether hot."""
-    lists = b.column(1)
-    off = np.asarray(lists.offsets)
-    tok = np.asarray(lists.values)[off[0] : off[-1]]
-    off = (off - off[0]).astype(np.int64)
-    n = np.diff(off)
-    key = mix64(tok.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    at = np.minimum(np.searchsorted(hot, tok), max(len(hot) - 1, 0))
-    is_hot = hot[at] == tok if len(hot) else np.zeros(len(tok), bool)
-    return off, n, key, np.repeat(np.arange(len(n)), n), at, is_hot
+class HotWords:
+    """The hot words with their counts, and what the parts of each level are expected to hold."""
 
+    def __init__(self, rows: np.ndarray, classes: int, num: int, den: int):
+        rows = rows[np.argsort(rows[:, 0])]
+        self.words = rows[:, 0].astype(np.int32)
+        self.rank = np.empty(len(rows), np.int64)
+        self.rank[np.lexsort((rows[:, 0], -rows[:, 1]))] = np.arange(len(rows))
+        p = np.clip(rows[:, 1] / max(1, classes), 1e-12, 1 - 1e-6)
+        self.out, self.logit = np.log1p(-p), np.log(p) - np.log1p(-p)
+        self.heavy, self.num, self.den = np.log(WEAK / max(1, classes)), num, den
 
-def _ints(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+    def batch(self, b: pa.RecordBatch):
+        """Of a batch of (cid, toks, ...): offsets, sizes, keys, class of each word, its index here, whether hot, and slacks.
 
+        The slack of a class is its share, in 1 / (num + den), of twice the words that may differ
+        in a pair without a common rare word: all its rare words differ. One word is added
+        because two words may have one 32-bit hash.
+        """
+        lists = b.column(1)
+        off = np.asarray(lists.offsets)
+        tok = np.asarray(lists.values)[off[0] : off[-1]]
+        off = (off - off[0]).astype(np.int64)
+        n = np.diff(off)
+        row = np.repeat(np.arange(len(n)), n)
+        at = np.minimum(np.searchsorted(self.words, tok), max(len(self.words) - 1, 0))
+        hot = self.words[at] == tok if len(self.words) else np.zeros(len(tok), bool)
+        key = mix64(tok.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        rare = np.bincount(row[~hot], minlength=len(n))
+        slack = (self.den - self.num) * n - (self.num + self.den) * (rare - 1)
+        return off, n, key, row, at, hot, rare, slack
 
-def _signatures(hot: np.ndarray, num: int, den: int):
-    """A mapInArrow function: rare prefix, size, slack, own level and parity bitmaps of each class, whole batches at once."""
+
+def _size_bin(n: np.ndarray) -> np.ndarray:
+    return np.floor(8 * np.log2(np.maximum(1, n))).astype(np.int64)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo in range(0, b.num_rows, SLICE):
+            yield b.slice(lo, SLICE)
+
+
+def _largest_slacks(hot: HotWords):
+    """A mapInArrow function: the largest slack of each bin of sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            off, n, key, row, _, is_hot = _batch(b, hot)
-            bit = np.uint64(1) << (key & np.uint64(63))
-            low = (key >> np.uint64(6)) & np.uint64(1)
-            part = lambda keep: _seg(np.bitwise_xor, np.where(keep, bit, np.uint64(0)), off)
-            # Rare words in hash order come first in the global word order; keep those inside the prefix.
-            order = np.lexsort((key, is_hot, row))
-            pos = np.arange(len(key)) - off[:-1][row]
-            longest = n - -(-(num * n) // den) + 1
-            keep = order[(~is_hot[order]) & (pos < longest[row])]
-            rare_off = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(n)))])
-            # Twice a class's share of the words that may differ, without its rare words, in 1 / (num + den).
-            slack = (den - num) * n - (num + den) * np.bincount(row[~is_hot], minlength=len(n))
-            level = np.where(slack < 0, -1, np.searchsorted(LEVELS, 2 * slack // (num + den)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0), b.column(2), b.column(3), pa.array(n.astype(np.int32)), pa.array(slack.astype(np.int64)), pa.array(level.astype(np.int32)),
-                    _ints(part(low == 0)), _ints(part(low == 1)), _ints(part(is_hot)),
-                    pa.ListArray.from_arrays(pa.array(rare_off.astype(np.int32)), _ints(key[keep])),
-                ],
-                names=["cid", "lo", "hi", "n", "slack", "level", "b0", "b1", "hb", "rare"],
-            )
+        best: dict[int, int] = {}
+        for b in _slices(batches):
+            _, n, _, _, _, _, _, slack = hot.batch(b)
+            for k, s in zip(_size_bin(n).tolist(), slack.tolist()):
+                if s > best.get(k, -1):
+                    best[k] = s
+        yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), pa.array(list(best.values()), pa.int64())], names=["size_bin", "slack"])
 
     return run
 
 
-def _hot_keys(hot: np.ndarray, rank: np.ndarray, top: int, num: int, den: int):
-    """A mapInArrow function: at each level that a class may meet, its hot words dealt into one part more than may differ."""
+def _levels(top: int) -> np.ndarray:
+    """Numbers of differing words that the levels allow, ascending; the highest is `top`."""
+    out = [top] if top >= 0 else []
+    while out and out[-1] * LEVEL_STEP >= LEAST_LEVEL:
+        out.append(int(out[-1] * LEVEL_STEP))
+    return np.array(out[::-1], np.int64)
+
+
+def _posts(hot: HotWords, bins: np.ndarray, best: np.ndarray):
+    """A mapInArrow function: the join keys of each class, with what the pair filters need.
+
+    bins, best: bins of sizes, ascending, and the largest slack of classes of that size or less.
+    """
+    num, den = hot.num, hot.den
+    unit = num + den
+    levels = _levels(int(2 * best[-1] // unit) if len(best) else -1)
+    never = -(1 << 40)
+
+    def rare_posts(n, off, key, row, is_hot, rare):
+        # Rare words in hash order come first in the global word order; keep those inside the prefix.
+        order = np.lexsort((key, is_hot, row))
+        pos = np.arange(len(key)) - off[:-1][row]
+        longest = n - -(-(num * n) // den) + 2
+        keep = order[(~is_hot[order]) & (pos < longest[row])]
+        return row[keep], key[keep]
+
+    def part_keys(g, n_parts, at_g, take, row, key, at, slot):
+        """(class, key) at one level: `take` parts of each class in at_g."""
+        parts = n_parts
+        mine = slot[row] >= 0
+        cell = slot[row[mine]] * parts + hot.rank[at[mine]] % parts
+        sums = np.zeros(len(at_g) * parts, np.uint64)
+        np.add.at(sums, cell, key[mine])
+        base = np.bincount(hot.rank % parts, hot.out, parts)
+        chance = np.bincount(cell, hot.logit[at[mine]], len(at_g) * parts) + np.tile(base, len(at_g))
+        with np.errstate(over="ignore"):
+            tag = mix64(np.arange(parts, dtype=np.uint64) + np.uint64((g + 1) << 32))
+            k = mix64(sums + np.tile(tag, len(at_g)))
+        posted = np.tile(np.arange(parts), len(at_g)) < np.repeat(take, parts)
+        weak = posted & (chance > hot.heavy)
+        light = np.flatnonzero(posted & ~weak)
+        yield at_g[light // parts], k[light]
+        # Two parts more than words may differ are dealt: without an equal light part two weak ones are equal.
+        w = np.flatnonzero(weak)
+        owner = w // parts
+        left = np.searchsorted(owner, owner, "right") - np.arange(len(w)) - 1
+        first = np.repeat(np.arange(len(w)), left)
+        step = np.arange(len(first)) - np.repeat(np.cumsum(left) - left, left) + 1
+        with np.errstate(over="ignore"):
+            yield at_g[owner[first]], mix64(k[w[first]] * np.uint64(3) + k[w[first + step]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            off, n, key, row, at, is_hot = _batch(b, hot)
-            slack = (den - num) * n - (num + den) * np.bincount(row[~is_hot], minlength=len(n))
-            own = np.where(slack < 0, -1, np.searchsorted(LEVELS, 2 * slack // (num + den)))
-            # A partner of a higher level makes up for a slack below 0, and is at most den / num as large.
-            first = np.searchsorted(LEVELS, 2 * np.abs(slack) // (num + den))
-            last = np.searchsorted(LEVELS, 2 * (den - num) * (n * den // num) // (num + den))
-            hrow, hkey, hrank = row[is_hot], key[is_hot], rank[at[is_hot]] if len(hot) else at[is_hot]
-            for g in range(top + 1):
-                at_g = np.flatnonzero((first <= g) & (g <= np.maximum(last, own)))
+        for b in _slices(batches):
+            off, n, key, row, at, is_hot, rare, slack = hot.batch(b)
+            sides = np.asarray(b.column(2)).astype(np.int64) * 0 + (np.asarray(b.column(2)) == 0) * LO + (np.asarray(b.column(3)) == 1) * HI
+            meta = (n << 34) | ((slack + (1 << 29)) << 4) | sides
+            bit = np.uint64(1) << (key & np.uint64(63))
+            low = (key >> np.uint64(6)) & np.uint64(1)
+            part = lambda keep: _seg(np.bitwise_xor, np.where(keep, bit, np.uint64(0)), off)
+            b0, b1, hb = part(low == 0), part(low == 1), part(is_hot)
+            cid = np.asarray(b.column(0))
+
+            def out(cls, k, m, x0, x1):
+                ints = lambda x: pa.array(x.view(np.int64))
+                return pa.RecordBatch.from_arrays([pa.array(cid[cls]), ints(k), pa.array(m), ints(x0[cls]), ints(x1[cls])], names=["cid", "k", "meta", "b0", "b1"]).select(
+                    ["k", "cid", "meta", "b0", "b1"]
+                )
+
+            cls, k = rare_posts(n, off, key, row, is_hot, rare)
+            yield out(cls, k, meta[cls] | RARE, b0, b1)
+            if not len(levels):
+                continue
+            need = 2 * slack // unit
+            own = np.where(slack < 0, -1, np.searchsorted(levels, need))
+            # The largest partner that can have all this class's rare words differ, and the largest slack up to that size.
+            most = ((den * n - unit * (rare - 1)) // num) + 1
+            upto = np.searchsorted(bins, _size_bin(most), "right") - 1
+            partner = np.where((most >= 0) & (upto >= 0), best[np.maximum(upto, 0)], never)
+            hrow, hkey, hat = row[is_hot], key[is_hot], at[is_hot]
+            none = np.zeros(len(n), np.uint64)
+            for g, d in enumerate(levels.tolist()):
+                below = levels[g - 1] if g else -1
+                meets = (own < g) & (2 * partner // unit > below) & (2 * slack + (d + 1) * unit >= 0)
+                at_g = np.flatnonzero((own == g) | meets)
                 if not len(at_g):
                     continue
-                parts = LEVELS[g] + 1
+                # A class with less slack than the level differs in fewer words: so many parts suffice, and two more.
+                take = np.minimum(d, (2 * slack[at_g] + (d + 1) * unit) // (2 * unit)) + 2
                 slot = np.full(len(n), -1)
                 slot[at_g] = np.arange(len(at_g))
-                mine = slot[hrow] >= 0
-                sums = np.zeros(len(at_g) * parts, np.uint64)
-                np.add.at(sums, slot[hrow[mine]] * parts + hrank[mine] % parts, hkey[mine])
-                with np.errstate(over="ignore"):
-                    tag = mix64(np.arange(parts, dtype=np.uint64) + np.uint64((g + 1) << 32))
-                    k = mix64(sums + np.tile(tag, len(at_g)))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(np.repeat(at_g, parts))), pa.array(np.repeat(own[at_g] == g, parts)), _ints(k)], names=["cid", "own", "k"]
-                )
+                for cls, k in part_keys(g, d + 2, at_g, take, hrow, hkey, hat, slot):
+                    yield out(cls, k, meta[cls] | np.where(own[cls] == g, OWN, 0), hb, none)
 
     return run
 
 
-def _may_match(na, nb, differ, num: int, den: int):
-    """Size filter, and the bitmap bound: parity bits that differ are words that differ."""
-    small, large = F.least(na, nb), F.greatest(na, nb)
-    # overlap >= ceil(t / (1 + t) * (na + nb)) leaves na + nb - 2 * overlap words apart at most
-    apart = (na + nb) - 2 * F.ceil(F.lit(num) * (na + nb) / F.lit(num + den))
-    return (small * den >= large * num) & (differ <= apart)
+def fetched(ids: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows of sets (id, ...) of the given ids; the ids are broadcast where they are few."""
+    known = ids.distinct()
+    return sets.join(F.broadcast(known) if known.count() <= BROADCAST_IDS else known, "id", "left_semi")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of pairs (a, b), those whose word sets in sets (id, toks) reach num/den of their union."""
-    s = sets.select("id", "toks")
+def _overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b) with na, nb and both: the sizes of their sets in sets (id, toks) and of what they share."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    s = fetched(ids, sets.select("id", "toks"))
     joined = pairs.join(s.select(F.col("id").alias("a"), F.col("toks").alias("ta")), "a").join(
         s.select(F.col("id").alias("b"), F.col("toks").alias("tb")), "b"
     )
-    both = F.size(F.array_intersect("ta", "tb"))
-    return joined.where(both * den >= num * (F.size("ta") + F.size("tb") - both)).select("a", "b")
+    return joined.select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("nb"), F.size(F.array_intersect("ta", "tb")).alias("both"))
+
 
+def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs (a, b), those whose texts' distinct words reach num/den of their union.
 
-def linked_classes(classes: DataFrame, num: int, den: int) -> DataFrame:
+    sets (id, toks) are 32-bit hashes of words: two words may have one hash. Pairs that one such
+    case more or less would not decide otherwise are settled by them; the words themselves, of
+    texts (id, words), settle the others.
+    """
+    reach = lambda both, words: both * den >= num * words
+    near = _overlap(pairs, sets).withColumn("all", F.col("na") + F.col("nb") - F.col("both"))
+    near = materialize(near.where(reach(F.col("both") + 1, F.col("all"))).withColumn("sure", reach(F.col("both") - 1, F.col("all") + 1)), "nd-near")
+    close = near.where("not sure").select("a", "b")
+    words = texts.select("id", F.array_distinct("words").alias("toks"))
+    exact = _overlap(close, words).where(reach(F.col("both"), F.col("na") + F.col("nb") - F.col("both")))
+    return near.where("sure").select("a", "b").unionByName(exact.select("a", "b"))
+
+
+def linked_classes(classes: DataFrame, texts: DataFrame, num: int, den: int, hot: int = HOT) -> DataFrame:
     """(a, b), a < b: every two of classes (cid, toks, lo, hi) whose word sets reach num/den of their union.
 
     lo and hi are the least and the greatest side of a class's members; only classes with
-    members on different sides are paired (side 0 with 1), or all where lo = 0 and hi = 1. Exact, with no limit on
-    the size of a group: words are counted over classes and are rare or hot. Two classes that
-    reach num/den and share a rare word share one inside both prefixes (rare words first). Two
-    that share none differ in all their rare words, which leaves a bounded number d of hot
-    words that may differ; the hot words are dealt into more than d parts by their rank, so one
-    part at least is equal, empty ones included. d is half from either class: each pair meets at
-    the level of the class that allows more. Size and parity bitmaps filter, then whole sets are compared.
+    members on different sides are paired (side 0 with 1), or all where lo = 0 and hi = 1.
+    texts (id, words) gives the words of a class's representative.
+
+    Exact, with no limit on the size of a group. Words are counted over classes and are rare or hot
+    (in more than `hot` classes). Two classes that reach num/den and share a rare word share one
+    inside both prefixes (rare words first). Two that share none differ in all their rare words,
+    which leaves a bounded number d of hot words that may differ; the hot words are dealt into
+    d + 2 parts by their rank, so at least two parts are equal, empty ones included. A part that few
+    classes hold by chance is a key; the others are keys by twos, so no key is common only because
+    its words are. d is half from either class: each pair meets at the level of the class that
+    allows more. Sizes and parity bitmaps filter, then whole sets are compared.
     """
     spark = classes.sparkSession
-    limit = max(HOT_FLOOR, math.ceil(HOT_SHARE * classes.count()))
+    given = classes.select("cid", "toks", "lo", "hi")
+    rows, words = classes.agg(F.count(F.lit(1)), F.sum(F.size("toks").cast("long"))).first()
+    limit = max(hot, (words or 0) // MOST_HOT)
     hot_rows = classes.select(F.explode("toks").alias("t")).groupBy("t").count().where(F.col("count") > limit)
     found = np.array([tuple(r) for r in hot_rows.toLocalIterator()], np.int64).reshape(-1, 2)
-    found = found[np.argsort(found[:, 0])]
-    rank = np.empty(len(found), np.int64)
-    rank[np.lexsort((found[:, 0], -found[:, 1]))] = np.arange(len(found))
-    shared = spark.sparkContext.broadcast((found[:, 0].astype(np.int32), rank))
-    given = classes.select("cid", "toks", "lo", "hi")
-    sig = materialize(given.mapInArrow(lambda it: _signatures(shared.value[0], num, den)(it), _SIG), "nd-signatures")
-    top = sig.agg(F.max("level")).first()[0]
-    top = -1 if top is None else top
-    keys = given.mapInArrow(lambda it: _hot_keys(*shared.value, top, num, den)(it), _KEYS)
-    side = lambda d, s: d.select("k", *[F.col(c).alias(c + s) for c in d.columns if c != "k"])
-    sides = ((F.col("lo_x") == 0) & (F.col("hi_y") == 1)) | ((F.col("lo_y") == 0) & (F.col("hi_x") == 1))
-    apart = lambda b: F.bit_count(F.col(f"{b}_x").bitwiseXOR(F.col(f"{b}_y")))
-    rare = sig.select(F.explode("rare").alias("k"), "cid", "lo", "hi", "n", "b0", "b1")
-    by_rare = side(rare, "_x").join(side(rare, "_y"), "k").where(
-        (F.col("cid_x") < F.col("cid_y")) & sides & _may_match(F.col("n_x"), F.col("n_y"), apart("b0") + apart("b1"), num, den)
-    )
-    hot = keys.join(sig.select("cid", "lo", "hi", "n", "slack", "hb"), "cid")
-    hot = materialize(hot.select("k", "cid", "own", "lo", "hi", "n", "slack", "hb"), "nd-hot")
-    by_hot = side(hot, "_x").join(side(hot, "_y"), "k").where(
-        (F.col("cid_x") < F.col("cid_y")) & sides & (F.col("own_x") | F.col("own_y"))
-        & (apart("hb") * (num + den) <= F.col("slack_x") + F.col("slack_y"))
-        & _may_match(F.col("n_x"), F.col("n_y"), F.lit(0), num, den)
+    shared = spark.sparkContext.broadcast(HotWords(found, rows, num, den))
+    slacks = given.mapInArrow(lambda it: _largest_slacks(shared.value)(it), "size_bin int, slack long")
+    by_size = sorted(tuple(r) for r in slacks.groupBy("size_bin").agg(F.max("slack")).collect())
+    bins = np.array([r[0] for r in by_size], np.int64)
+    best = np.maximum.accumulate(np.array([r[1] for r in by_size], np.int64)) if by_size else bins
+    posts = given.mapInArrow(lambda it: _posts(shared.value, bins, best)(it), _POST)
+    side = lambda s: posts.select("k", *[F.col(c).alias(c + s) for c in posts.columns if c != "k"])
+    n = lambda s: F.shiftright("meta" + s, 34)
+    slack = lambda s: F.shiftright("meta" + s, 4).bitwiseAND(F.lit((1 << 30) - 1)) - (1 << 29)
+    flag = lambda s, f: F.col("meta" + s).bitwiseAND(F.lit(f)) != 0
+    apart = F.bit_count(F.col("b0_x").bitwiseXOR(F.col("b0_y"))) + F.bit_count(F.col("b1_x").bitwiseXOR(F.col("b1_y")))
+    small, large, both = F.least(n("_x"), n("_y")), F.greatest(n("_x"), n("_y")), n("_x") + n("_y")
+    # overlap >= num / (num + den) * (n_x + n_y), less one word that shares its hash, leaves this many words apart at most.
+    by_rare = flag("_x", RARE) & (apart * (num + den) <= (den - num) * both + 2 * (num + den))
+    by_hot = (flag("_x", OWN) | flag("_y", OWN)) & (apart * (num + den) <= slack("_x") + slack("_y"))
+    pairs = side("_x").join(side("_y"), "k").where(
+        (F.col("cid_x") < F.col("cid_y")) & ((small + 1) * den >= large * num) & (by_rare | by_hot)
+        & ((flag("_x", LO) & flag("_y", HI)) | (flag("_y", LO) & flag("_x", HI)))
     )
-    ab = [F.col("cid_x").alias("a"), F.col("cid_y").alias("b")]
-    pairs = by_rare.select(*ab).unionByName(by_hot.select(*ab)).distinct()
-    return verified(pairs, classes.select(F.col("cid").alias("id"), "toks"), num, den)
+    pairs = materialize(pairs.select(F.col("cid_x").alias("a"), F.col("cid_y").alias("b")).distinct(), "nd-pairs")
+    return verified(pairs, classes.select(F.col("cid").alias("id"), "toks"), texts, num, den)
 
 
-def near_duplicate_groups(df: DataFrame, id_col: str, text_cols: list[str], num: int = 8, den: int = 10) -> DataFrame:
+def near_duplicate_groups(df: DataFrame, id_col: str, text_cols: list[str], num: int = 8, den: int = 10, hot: int = HOT) -> DataFrame:
     """(id, class_id, group_id, links_class): every record, its class of equal word sets and its near-duplicate group.
 
     Two records are linked if at least num/den of the distinct words of both together occur in
@@ -197,15 +291,16 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text_cols: list[str], num:
     `linked_classes` finds every two classes that are linked, exactly.
     """
     texts = df.select(F.col(id_col).cast("long").alias("id"), *[F.col(c).alias(f"t{i}") for i, c in enumerate(text_cols)])
-    words = word_set(*[F.col(f"t{i}") for i in range(len(text_cols))])
-    sets = spread(texts, "id").select("id", words.alias("toks"))
+    hashes = word_set(*[F.col(f"t{i}") for i in range(len(text_cols))])
+    sets = spread(texts, "id").select("id", hashes.alias("toks"))
     sig = materialize(sets.select("id", F.size("toks").alias("n"), F.xxhash64("toks").alias("sh"), "toks"), "nd-sets")
     classes = materialize(
         sig.where("n > 0").groupBy("sh").agg(F.min("id").alias("cid"), F.count(F.lit(1)).alias("copies"), F.first("toks").alias("toks")),
         "nd-classes",
     )
     every = classes.select("cid", "toks", F.lit(0).alias("lo"), F.lit(1).alias("hi"))
-    edges = materialize(linked_classes(every, num, den), "nd-edges")
+    spelt = texts.select("id", words(*[F.col(f"t{i}") for i in range(len(text_cols))]).alias("words"))
+    edges = materialize(linked_classes(every, spelt, num, den, hot), "nd-edges")
     comp = connected_components(edges, "a", "b")
     owner = classes.select("sh", F.col("cid").alias("class_id"), "copies").join(
         comp.select(F.col("node").alias("class_id"), "root"), "class_id", "left"

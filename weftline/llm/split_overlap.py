@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.canon import word_set
-from weftline.llm.near_duplicates import linked_classes
+from weftline.functions.canon import word_set, words
+from weftline.llm.near_duplicates import HOT, linked_classes
 from weftline.session import spread
 from weftline.storage import materialize
 
 
-def _overlap_classes(df: DataFrame, id_col: str, text_col: str, split_col: str, train: str, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+def _overlap_classes(df: DataFrame, id_col: str, text_col: str, split_col: str, train: str, num: int, den: int, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(members (id, side, cid), hits (a, b)): records with their class of equal word sets, and pairs of
     classes, training side first, that overlap. Copies are not expanded."""
     side = F.when(F.col(split_col) == train, F.lit(0)).otherwise(F.lit(1))
@@ -26,7 +26,8 @@ def _overlap_classes(df: DataFrame, id_col: str, text_col: str, split_col: str,
         ),
         "so-classes",
     )
-    links = materialize(linked_classes(classes, num, den), "so-links")
+    spelt = base.select("id", words(F.col("text")).alias("words"))
+    links = materialize(linked_classes(classes, spelt, num, den, hot), "so-links")
     links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = links.join(classes.where("lo = 0").select(F.col("cid").alias("a")), "a").join(classes.where("hi = 1").select(F.col("cid").alias("b")), "b").select("a", "b")
     same = classes.where("lo = 0 and hi = 1").select(F.col("cid").alias("a"), F.col("cid").alias("b"))
@@ -34,7 +35,7 @@ def _overlap_classes(df: DataFrame, id_col: str, text_col: str, split_col: str,
     return rows.select("id", "side", "sh").join(classes.select("sh", "cid"), "sh").select("id", "side", "cid"), hits
 
 
-def split_overlaps(df: DataFrame, id_col: str, text_col: str, split_col: str, train: str = "train", num: int = 8, den: int = 10) -> DataFrame:
+def split_overlaps(df: DataFrame, id_col: str, text_col: str, split_col: str, train: str = "train", num: int = 8, den: int = 10, hot: int = HOT) -> DataFrame:
     """(train_id, held_id): pairs of a training record and one of another split with word similarity >= num/den.
 
     Rows with a null split or text, or without a word, have no pair; an id delivered twice gives
@@ -43,7 +44,7 @@ def split_overlaps(df: DataFrame, id_col: str, text_col: str, split_col: str, tr
 
     Pairs of classes come from `linked_classes`, which misses none, whatever the size of a family.
     """
-    member, hits = _overlap_classes(df, id_col, text_col, split_col, train, num, den)
+    member, hits = _overlap_classes(df, id_col, text_col, split_col, train, num, den, hot)
     return (
         hits.join(member.where("side = 0").select(F.col("cid").alias("a"), F.col("id").alias("train_id")), "a")
         .join(member.where("side = 1").select(F.col("cid").alias("b"), F.col("id").alias("held_id")), "b")
@@ -53,11 +54,11 @@ def split_overlaps(df: DataFrame, id_col: str, text_col: str, split_col: str, tr
     )
 
 
-def overlap_counts(df: DataFrame, id_col: str, text_col: str, split_col: str, train: str = "train", num: int = 8, den: int = 10) -> DataFrame:
+def overlap_counts(df: DataFrame, id_col: str, text_col: str, split_col: str, train: str = "train", num: int = 8, den: int = 10, hot: int = HOT) -> DataFrame:
     """(id, links): each record outside the training split that overlaps with it, and with how many training rows.
 
     Counted on classes: copies are never expanded into pairs."""
-    member, hits = _overlap_classes(df, id_col, text_col, split_col, train, num, den)
+    member, hits = _overlap_classes(df, id_col, text_col, split_col, train, num, den, hot)
     n = member.where("side = 0").groupBy(F.col("cid").alias("a")).agg(F.count(F.lit(1)).alias("n"))
     per = hits.join(n, "a").groupBy("b").agg(F.sum("n").alias("links"))
     return member.where("side = 1").join(per, F.col("cid") == F.col("b")).select("id", "links")
