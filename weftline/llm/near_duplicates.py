@@ -14,11 +14,10 @@ from weftline.llm.components import connected_components
 from weftline.session import spread
 from weftline.storage import materialize
 
-#: A word in more than HOT classes (or in words / MOST_HOT, where that is more) is hot: no join key of its own.
-#: So at most MOST_HOT words are hot, which bounds what is broadcast: 20 bytes a word.
-HOT, MOST_HOT = 1000, 4_000_000
-#: A part of hot words that more classes than WEAK would hold by chance is a key only together with another such part.
-WEAK = 30.0
+#: A word in more than HOT_ROOT * sqrt(classes) classes (or in words / MOST_HOT, where that is more) is hot: no join key
+#: of its own. At most MOST_HOT words are hot, which bounds what is broadcast: 28 bytes a word. A part of hot words that
+#: more classes than that would hold by chance is a key only together with another such part.
+HOT_ROOT, MOST_HOT = 3.0, 4_000_000
 #: Each level allows LEVEL_STEP times the differing words of the next higher one; none is below LEAST_LEVEL.
 LEVEL_STEP, LEAST_LEVEL = 0.6, 6
 #: Candidate records up to this number are broadcast when their word sets are fetched: 8 bytes each.
@@ -52,14 +51,14 @@ def _seg(ufunc: np.ufunc, v: np.ndarray, off: np.ndarray) -> np.ndarray:
 class HotWords:
     """The hot words with their counts, and what the parts of each level are expected to hold."""
 
-    def __init__(self, rows: np.ndarray, classes: int, num: int, den: int):
+    def __init__(self, rows: np.ndarray, classes: int, limit: int, num: int, den: int):
         rows = rows[np.argsort(rows[:, 0])]
         self.words = rows[:, 0].astype(np.int32)
         self.rank = np.empty(len(rows), np.int64)
         self.rank[np.lexsort((rows[:, 0], -rows[:, 1]))] = np.arange(len(rows))
         p = np.clip(rows[:, 1] / max(1, classes), 1e-12, 1 - 1e-6)
         self.out, self.logit = np.log1p(-p), np.log(p) - np.log1p(-p)
-        self.heavy, self.num, self.den = np.log(WEAK / max(1, classes)), num, den
+        self.heavy, self.num, self.den = np.log(max(1, limit) / max(1, classes)), num, den
 
     def batch(self, b: pa.RecordBatch):
         """Of a batch of (cid, toks, ...): offsets, sizes, keys, class of each word, its index here, whether hot, and slacks.
@@ -189,12 +188,13 @@ def _posts(hot: HotWords, bins: np.ndarray, best: np.ndarray):
             none = np.zeros(len(n), np.uint64)
             for g, d in enumerate(levels.tolist()):
                 below = levels[g - 1] if g else -1
-                meets = (own < g) & (2 * partner // unit > below) & (2 * slack + (d + 1) * unit >= 0)
+                meets = (own < g) & (2 * partner // unit > below) & (slack + partner >= 0) & (2 * slack + (d + 1) * unit >= 0)
                 at_g = np.flatnonzero((own == g) | meets)
                 if not len(at_g):
                     continue
                 # A class with less slack than the level differs in fewer words: so many parts suffice, and two more.
-                take = np.minimum(d, (2 * slack[at_g] + (d + 1) * unit) // (2 * unit)) + 2
+                most_other = np.minimum((d + 1) * unit, 2 * partner[at_g])
+                take = np.clip((2 * slack[at_g] + most_other) // (2 * unit), 0, d) + 2
                 slot = np.full(len(n), -1)
                 slot[at_g] = np.arange(len(at_g))
                 for cls, k in part_keys(g, d + 2, at_g, take, hrow, hkey, hat, slot):
@@ -235,7 +235,7 @@ def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, num: int, den:
     return near.where("sure").select("a", "b").unionByName(exact.select("a", "b"))
 
 
-def linked_classes(classes: DataFrame, texts: DataFrame, num: int, den: int, hot: int = HOT) -> DataFrame:
+def linked_classes(classes: DataFrame, texts: DataFrame, num: int, den: int, hot: int | None = None) -> DataFrame:
     """(a, b), a < b: every two of classes (cid, toks, lo, hi) whose word sets reach num/den of their union.
 
     lo and hi are the least and the greatest side of a class's members; only classes with
@@ -243,7 +243,7 @@ def linked_classes(classes: DataFrame, texts: DataFrame, num: int, den: int, hot
     texts (id, words) gives the words of a class's representative.
 
     Exact, with no limit on the size of a group. Words are counted over classes and are rare or hot
-    (in more than `hot` classes). Two classes that reach num/den and share a rare word share one
+    (in more than `hot` classes, by default HOT_ROOT times the root of their number). Two classes that reach num/den and share a rare word share one
     inside both prefixes (rare words first). Two that share none differ in all their rare words,
     which leaves a bounded number d of hot words that may differ; the hot words are dealt into
     d + 2 parts by their rank, so at least two parts are equal, empty ones included. A part that few
@@ -254,10 +254,10 @@ def linked_classes(classes: DataFrame, texts: DataFrame, num: int, den: int, hot
     spark = classes.sparkSession
     given = classes.select("cid", "toks", "lo", "hi")
     rows, words = classes.agg(F.count(F.lit(1)), F.sum(F.size("toks").cast("long"))).first()
-    limit = max(hot, (words or 0) // MOST_HOT)
+    limit = hot or max(int(HOT_ROOT * rows**0.5), (words or 0) // MOST_HOT)
     hot_rows = classes.select(F.explode("toks").alias("t")).groupBy("t").count().where(F.col("count") > limit)
     found = np.array([tuple(r) for r in hot_rows.toLocalIterator()], np.int64).reshape(-1, 2)
-    shared = spark.sparkContext.broadcast(HotWords(found, rows, num, den))
+    shared = spark.sparkContext.broadcast(HotWords(found, rows, limit, num, den))
     slacks = given.mapInArrow(lambda it: _largest_slacks(shared.value)(it), "size_bin int, slack long")
     by_size = sorted(tuple(r) for r in slacks.groupBy("size_bin").agg(F.max("slack")).collect())
     bins = np.array([r[0] for r in by_size], np.int64)
@@ -280,7 +280,7 @@ def linked_classes(classes: DataFrame, texts: DataFrame, num: int, den: int, hot
     return verified(pairs, classes.select(F.col("cid").alias("id"), "toks"), texts, num, den)
 
 
-def near_duplicate_groups(df: DataFrame, id_col: str, text_cols: list[str], num: int = 8, den: int = 10, hot: int = HOT) -> DataFrame:
+def near_duplicate_groups(df: DataFrame, id_col: str, text_cols: list[str], num: int = 8, den: int = 10, hot: int | None = None) -> DataFrame:
     """(id, class_id, group_id, links_class): every record, its class of equal word sets and its near-duplicate group.
 
     Two records are linked if at least num/den of the distinct words of both together occur in

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.canon import word_set, words
-from weftline.llm.near_duplicates import HOT, linked_classes
+from weftline.llm.near_duplicates import linked_classes
 from weftline.session import spread
 from weftline.storage import materialize
 
 
-def _overlap_classes(df: DataFrame, id_col: str, text_col: str, split_col: str, train: str, num: int, den: int, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def _overlap_classes(df: DataFrame, id_col: str, text_col: str, split_col: str, train: str, num: int, den: int, hot: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(members (id, side, cid), hits (a, b)): records with their class of equal word sets, and pairs of
     classes, training side first, that overlap. Copies are not expanded."""
     side = F.when(F.col(split_col) == train, F.lit(0)).otherwise(F.lit(1))
@@ -35,7 +35,7 @@ def _overlap_classes(df: DataFrame, id_col: str, text_col: str, split_col: str,
     return rows.select("id", "side", "sh").join(classes.select("sh", "cid"), "sh").select("id", "side", "cid"), hits
 
 
-def split_overlaps(df: DataFrame, id_col: str, text_col: str, split_col: str, train: str = "train", num: int = 8, den: int = 10, hot: int = HOT) -> DataFrame:
+def split_overlaps(df: DataFrame, id_col: str, text_col: str, split_col: str, train: str = "train", num: int = 8, den: int = 10, hot: int | None = None) -> DataFrame:
     """(train_id, held_id): pairs of a training record and one of another split with word similarity >= num/den.
 
     Rows with a null split or text, or without a word, have no pair; an id delivered twice gives
@@ -54,7 +54,7 @@ def split_overlaps(df: DataFrame, id_col: str, text_col: str, split_col: str, tr
     )
 
 
-def overlap_counts(df: DataFrame, id_col: str, text_col: str, split_col: str, train: str = "train", num: int = 8, den: int = 10, hot: int = HOT) -> DataFrame:
+def overlap_counts(df: DataFrame, id_col: str, text_col: str, split_col: str, train: str = "train", num: int = 8, den: int = 10, hot: int | None = None) -> DataFrame:
     """(id, links): each record outside the training split that overlaps with it, and with how many training rows.
 
     Counted on classes: copies are never expanded into pairs."""
