@@ -5,8 +5,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weftline.llm.group_splits import divided_records, record_cell_keys, related_roots, spanning_forest, split_groups
-from weftline.llm.mixing import balanced_rates, mix, source_balance
-from weftline.llm.sampling import controlled_rounding, draw_sample, quota_report
+from weftline.llm.mixing import balanced, mix, unreachable
+from weftline.llm.sampling import bounded_quotas, controlled_rounding, draw_sample, quota_report
 
 T = "plan_name string, sample_rows long, classification string, category string, target_share double, min_rows long, supply long"
 
@@ -21,6 +21,27 @@ def test_rounding_keeps_both_margins(r, c, rnd):
         assert np.all(np.abs(got - want) < 1 + 1e-9)
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.integers(1, 4), st.integers(1, 5), st.randoms(use_true_random=False))
+def test_quotas_keep_bounds_and_margins_where_these_allow_it(r, c, rnd):
+    t = np.array([[rnd.random() * 9 for _ in range(c)] for _ in range(r)])
+    high = np.array([[rnd.choice([0, 3, 50, 50]) for _ in range(c)] for _ in range(r)])
+    low = np.minimum(high, [[rnd.choice([0, 0, 2, 5]) for _ in range(c)] for _ in range(r)])
+    q, whole = bounded_quotas(t, low, high), controlled_rounding(t)
+    assert np.all((low <= q) & (q <= high))
+    assert q.sum() == max(min(whole.sum(), high.sum()), low.sum())
+    free = bounded_quotas(t, 0 * low, 0 * high + 50)
+    assert np.array_equal(free.sum(0), whole.sum(0)) and np.array_equal(free.sum(1), whole.sum(1))
+
+
+def test_quotas_move_within_their_row_and_column():
+    t = np.array([[10.0, 10.0], [10.0, 10.0]])
+    q = bounded_quotas(t, np.array([[0, 0], [0, 15]]), np.full((2, 2), 40))
+    assert q.tolist() == [[15, 5], [5, 15]]
+    q = bounded_quotas(t, np.zeros((2, 2), int), np.array([[4, 40], [40, 40]]))
+    assert q.tolist() == [[4, 16], [16, 4]]
+
+
 def records(spark):
     rows = [(f"r{i % 90}", ["Normal", "normal ", "'malicious'", None][i % 4], ["A b", "a-B", None][i % 3], i, 1) for i in range(200)] + [(None, "normal", "A b", 999, 1)]
     return spark.createDataFrame(rows, "id string, classification string, category string, record_no long, row_key long")
@@ -83,14 +104,29 @@ def test_divided(spark):
 
 
 def test_mix(spark):
-    sizes = spark.createDataFrame([(i, ["a", "b", "c", None][i % 4], 10) for i in range(400)] + [(900, "a", 0)], "id long, source string, tokens long")
+    sizes = spark.createDataFrame([(i, ["a", "b", "c", None][i % 4], "en", 10) for i in range(400)] + [(900, "a", "de", 0)], "id long, source string, lang string, tokens long")
     t = spark.createDataFrame([("a", 0.5, 3), ("b", 0.4, 1), ("c", 0.05, None), ("none", 0.05, 2)], "source string, target_share double, max_repeats int")
-    b = {r.source: r for r in source_balance(sizes, t).collect()}
-    assert {k: v.reachable for k, v in b.items()} == {"a": True, "b": False, "c": True, "none": False}
+    r = balanced(sizes, t)
+    assert unreachable(r) == ["b", "none"]
+    assert np.allclose(np.exp(r.source[[0, 2]] + r.lang[0]), [2.0, 0.2], rtol=1e-6) and r.full.tolist() == [False, True, False, False]
     docs, report = mix(sizes, t)
     c = {(r.source): (r.lo, r.hi) for r in docs.groupBy("source").agg(F.min("copies").alias("lo"), F.max("copies").alias("hi")).collect()}
-    assert c["a"] == (2, 2) and c["b"] == (1, 1) and c[None] == (0, 0)
-    got = {r.source: r.mixed_tokens for r in report.collect()}
-    assert got["a"] == 2000 and got["b"] == 1000 and got["none"] == 0 and 0 < got["c"] < 500
+    assert c["a"] in ((1, 2), (2, 2), (2, 3)) and c["b"] == (1, 1) and c[None] == (0, 0)
+    got = {r.source: r for r in report.collect()}
+    assert abs(got["a"].mixed_tokens - 2000) <= 10 and got["b"].mixed_tokens == 1000 and got["none"].mixed_tokens == 0 and 0 < got["c"].mixed_tokens < 500
+    assert abs(sum(x.share for x in got.values()) - 1) < 1e-9 and got["b"].missed == 600
     assert mix(sizes.limit(0), t)[0].count() == 0 and mix(sizes, t.limit(0))[0].where("copies > 0").count() == 0
-    assert np.allclose(balanced_rates(source_balance(sizes, t).orderBy("source").toPandas()), [2.0, 1.0, 0.2, 0.0])
+
+
+def test_mix_keeps_sources_exact_and_languages_near(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, f"s{i % 3}", ["en", "de"][int(rng.random() < [0.3, 0.5, 0.7][i % 3])], int(rng.integers(1, 400))) for i in range(6000)]
+    sizes = spark.createDataFrame(rows, "id long, source string, lang string, tokens long")
+    t = spark.createDataFrame([("s0", 0.7, 3), ("s1", 0.2, 2), ("s2", 0.1, 4)], "source string, target_share double, max_repeats int")
+    docs, report = mix(sizes, t)
+    assert all(abs(r.share - r.target_share) < 0.01 for r in report.collect())
+    de = lambda d: d.agg((F.sum(F.when(F.col("lang") == "de", F.col("t"))) / F.sum("t")).alias("x")).first().x
+    whole = de(sizes.withColumn("t", F.col("tokens")))
+    got = de(docs.join(sizes.drop("source"), "id").withColumn("t", F.col("tokens") * F.col("copies")))
+    plain = 0.7 * 0.3 + 0.2 * 0.5 + 0.1 * 0.7  # what source rates alone would give
+    assert abs(got - whole) < 0.3 * abs(plain - whole) and docs.agg(F.max("copies")).first()[0] <= 4

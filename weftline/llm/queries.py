@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftline.llm.answer_defects import answer_defects
 from weftline.llm.format_duplicates import format_duplicates, format_representatives
 from weftline.llm.group_splits import divided_records, record_cell_keys, related_roots, split_groups
-from weftline.llm.mixing import document_sizes, mix, source_balance
+from weftline.llm.mixing import balanced, document_sizes, mix, unreachable
 from weftline.llm.near_duplicates import near_duplicate_groups
 from weftline.llm.sampling import draw_sample, quota_report
 from weftline.llm.split_overlap import overlap_counts, split_overlaps
@@ -41,10 +41,31 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_quotas(spark: SparkSession, sf: str) -> DataFrame:
     return _quotas(spark, sf).select(
-        "plan_name", F.col("row_name").alias("classification"), F.col("col_name").alias("category"), "supply", "need", "met", "rounded", "quota"
+        "plan_name", F.col("row_name").alias("classification"), F.col("col_name").alias("category"), "supply", "need", "met", "rounded", "quota", "row_missed", "col_missed"
     )
 
 
+def p2_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Per plan: rows asked for, rows in the sample, and whether every quota lies in its bounds and is drawn exactly."""
+    q = _quotas(spark, sf)
+    per = q.groupBy("plan_name").agg(
+        F.max("sample_rows").alias("sample_rows"), F.sum("quota").alias("quota"),
+        F.min((F.col("quota") >= F.least(F.coalesce("min_rows", F.lit(0)), "supply")) & (F.col("quota") <= F.col("supply"))).alias("in_bounds"),
+    )
+    drawn = p2_sample(spark, sf).groupBy("plan_name").agg(F.count(F.lit(1)).alias("drawn"))
+    exact = F.coalesce("drawn", F.lit(0)) == F.col("quota")
+    return per.join(drawn, "plan_name", "left").select("plan_name", "sample_rows", "quota", "in_bounds", exact.alias("exact"))
+
+
+def p2_margins(spark: SparkSession, sf: str) -> DataFrame:
+    """Per plan and classification or category: the rows its margin asks for and how many of them the bounds do not allow."""
+    q = _quotas(spark, sf)
+    side = lambda kind, name, missed: q.groupBy("plan_name", F.lit(kind).alias("margin"), F.col(name).alias("name")).agg(
+        F.sum("rounded").alias("rounded"), F.sum("quota").alias("quota"), F.max(missed).alias("missed")
+    )
+    return side("classification", "row_name", "row_missed").unionByName(side("category", "col_name", "col_missed"))
+
+
 def p2_sample(spark: SparkSession, sf: str) -> DataFrame:
     return draw_sample(table(spark, sf, "records"), table(spark, sf, "sample_targets"), "record_no")
 
@@ -97,7 +118,8 @@ def p8_offsets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    return source_balance(document_sizes(table(spark, sf, "documents")), table(spark, sf, "mix_targets")).where("not reachable").select("source")
+    short = unreachable(balanced(document_sizes(table(spark, sf, "documents")), table(spark, sf, "mix_targets")))
+    return spark.createDataFrame([(s,) for s in short], "source string")
 
 
 def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,7 +141,7 @@ def p10_composition(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_report, p2_found, p2_quotas, p2_sample, p3_found, p3_report, p4_found, p4_splits, p6_found,
+        p1_found, p1_report, p2_found, p2_quotas, p2_totals, p2_margins, p2_sample, p3_found, p3_report, p4_found, p4_splits, p6_found,
         p7_found, p7_representatives, p8_ids, p8_counts, p8_offsets, p9_found, p9_mix, p9_report, p10_found, p10_composition,
     )
 }
@@ -134,6 +156,16 @@ ORACLE = {
         SELECT t.plan_name, t.classification, t.category FROM sample_targets t
         LEFT JOIN s ON s.c = {_LETTERS('t.classification')} AND s.g = {_LETTERS('t.category')}
         WHERE coalesce(s.supply, 0) < greatest(coalesce(t.min_rows, 0), round(t.target_share * t.sample_rows))""",
+    "p2_totals": f"""
+        WITH r AS (SELECT DISTINCT id, {_LETTERS('classification')} AS c, {_LETTERS('category')} AS g FROM records
+                   WHERE id IS NOT NULL AND classification IS NOT NULL AND category IS NOT NULL),
+             s AS (SELECT c, g, count(*) AS supply FROM r GROUP BY c, g),
+             t AS (SELECT t.*, coalesce(s.supply, 0) AS supply FROM sample_targets t
+                   LEFT JOIN s ON s.c = {_LETTERS('t.classification')} AND s.g = {_LETTERS('t.category')})
+        SELECT plan_name, max(sample_rows) AS sample_rows,
+               CAST(greatest(least(round(sum(target_share * sample_rows)), sum(supply)), sum(least(coalesce(min_rows, 0), supply))) AS BIGINT) AS quota,
+               true AS in_bounds, true AS exact
+        FROM t GROUP BY plan_name""",
     "p4_found": f"""
         WITH r AS (SELECT record_no, split_name, {_LETTERS('category')} AS g,
                           coalesce(CASE WHEN grid_index >= 0 THEN CAST(grid_index AS BIGINT) END,
