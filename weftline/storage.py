@@ -37,7 +37,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write `df` to the shared folder and read it back; the plan starts anew from the files.
 
-    The files live until `release` or the end of the driver.
+    The files live until `drop`, `release` or the end of the driver.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{tag}-{uuid.uuid4().hex}"
@@ -45,7 +45,19 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     _WRITTEN.append(path)
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables of `materialize` that nothing reads any more, such as the last round's; other frames are left alone."""
+    for df in tables:
+        path = getattr(df, "_written", None)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+            p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def release(spark: SparkSession) -> int:
