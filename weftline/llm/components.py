@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.storage import materialize
+from weftline.storage import drop, materialize
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
             .unionByName(least.select("u", F.col("m").alias("v")))
             .where("u <> v").distinct()
         )
-        cur = materialize(small, "cc")
+        last, cur = cur, materialize(small, "cc")
+        drop(last)
         after = tuple(cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if after == before:
             break

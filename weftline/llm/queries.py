@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.answer_defects import answer_defects
 from weftline.llm.format_duplicates import format_duplicates, format_representatives
-from weftline.llm.group_splits import divided_records, record_cell_keys, related_roots, split_groups
+from weftline.llm.group_splits import divided_records, record_cell_keys, related_forest, related_roots, split_groups
 from weftline.llm.mixing import balanced, document_sizes, mix, unreachable
 from weftline.llm.near_duplicates import near_duplicate_groups
 from weftline.llm.sampling import draw_sample, quota_report
@@ -88,7 +88,14 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_splits(spark: SparkSession, sf: str) -> DataFrame:
     roots = materialize(related_roots(table(spark, sf, "records"), "record_no", record_cell_keys()), "p4-roots")
-    return roots.join(split_groups(roots, PROPORTIONS), "root").select(F.col("id").alias("record_no"), "root", "split")
+    return roots.join(split_groups(roots, PROPORTIONS), "root").select(F.col("id").alias("record_no"), F.hex("root").alias("root"), "split")
+
+
+def p4_forest(spark: SparkSession, sf: str) -> DataFrame:
+    """The written forest: nodes that are related through more than one key, trees and edges; edges and trees add up to the nodes."""
+    _, forest, roots = related_forest(table(spark, sf, "records"), "record_no", record_cell_keys())
+    trees = roots.agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("root").alias("trees"))
+    return trees.crossJoin(forest.agg(F.count(F.lit(1)).alias("edges")))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -141,7 +148,7 @@ def p10_composition(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_report, p2_found, p2_quotas, p2_totals, p2_margins, p2_sample, p3_found, p3_report, p4_found, p4_splits, p6_found,
+        p1_found, p1_report, p2_found, p2_quotas, p2_totals, p2_margins, p2_sample, p3_found, p3_report, p4_found, p4_splits, p4_forest, p6_found,
         p7_found, p7_representatives, p8_ids, p8_counts, p8_offsets, p9_found, p9_mix, p9_report, p10_found, p10_composition,
     )
 }
@@ -166,6 +173,14 @@ ORACLE = {
                CAST(greatest(least(round(sum(target_share * sample_rows)), sum(supply)), sum(least(coalesce(min_rows, 0), supply))) AS BIGINT) AS quota,
                true AS in_bounds, true AS exact
         FROM t GROUP BY plan_name""",
+    "p4_forest": f"""
+        WITH r AS (SELECT id, {_LETTERS('category')} AS g,
+                          coalesce(CASE WHEN grid_index >= 0 THEN CAST(grid_index AS BIGINT) END,
+                                   TRY_CAST(nullif(regexp_extract(id, '^(?:engine-v4-s|v3_|salvaged-v1-)(\\d+)', 1), '') AS BIGINT)) AS cell FROM records),
+             e AS (SELECT DISTINCT id, g || '#' || cell AS k FROM r WHERE id IS NOT NULL AND g <> '' AND cell IS NOT NULL),
+             one AS (SELECT id, k, min(k) OVER (PARTITION BY id) AS other FROM e),
+             n AS (SELECT count(DISTINCT id) + count(DISTINCT k) AS nodes, count(DISTINCT k) - count(DISTINCT CASE WHEN k <> other THEN k END) AS trees FROM one)
+        SELECT nodes, trees, nodes - trees AS edges FROM n""",
     "p4_found": f"""
         WITH r AS (SELECT record_no, split_name, {_LETTERS('category')} AS g,
                           coalesce(CASE WHEN grid_index >= 0 THEN CAST(grid_index AS BIGINT) END,
