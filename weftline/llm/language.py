@@ -9,22 +9,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15
+#: How far another language must lead: in logarithm of likelihood a trigram, and over the whole text.
+MARGIN, EVIDENCE = 0.35, 5.0
+#: By how much a gram prompts must be likelier in another language than in the default: field names and invented names
+#: are of no one language and lead by up to 0.2, prose leads by 0.5 and more.
+PROMPT_LEAD = 0.4
+#: Grams of all languages together that are added to those of each one.
+SHARED = 1500.0
+#: Labelled texts used to fit have this many characters.
+FIT_LEAST, FIT_MOST = 41, 20_000
 _KEEP = re.compile(r"\S*(?:\d|[._=/@:\\-](?=\S))\S*")
 
-# Fixed seed sentences, written for this module: everyday function words of each language.
+# Fixed seed texts, written for this module: function words of each language, and sentences of everyday life.
 SEEDS = {
-    "en": "the of and to in is that it was for on are as with his they at be this have from or one had by word but not what all were we when your can said there use an each which she do how their if will up other about out many then them these so some her would make like him into time has look two more write go see number no way could people my than first water been call who its now find long down day did get come made may part and the report says that the check is closed with a named owner; nothing else departs from the plan. Keep the host running and look again after some hours. Ask the owner for a written reason and tell the desk before the next shift. Block the source at the edge, rotate the credentials, restore the missing feed first. Harmless, benign, hostile, undecided, planned work, nothing unusual, no action required, escalate now, watch it",
-    "de": "der die das und ist nicht ein eine zu den mit sich auf für von dem des im auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei die Sitzungen beenden und den Grund erfragen, ohne die fehlenden Einträge lässt sich das nicht sicher beurteilen, mehrere schwache Hinweise deuten auf einen Zugriff hin, vom Netz trennen und vorher sichern, die Regel anpassen und nächste Woche erneut prüfen, den Vorgang anlegen und anhängen",
-    "fr": "le la les de des du et est que qui dans un une pour pas sur au avec il elle ne se ce cette ces par plus mais ou si leur on son sa ses nous vous ils aux été sont comme tout fait être même aussi fermer les sessions et demander une explication écrite, ouvrir le dossier avec les journaux bruts, il manque une partie du journal et l'intention reste incertaine, plusieurs indices faibles vont dans le même sens, isoler la machine et garder une copie de la mémoire, revoir la règle la semaine prochaine",
-    "es": "el la los las de del y es que en un una por con no se su para al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante cerrar las sesiones y pedir un motivo por escrito, abrir el caso con los eventos originales adjuntos, falta una parte del registro y por eso no se puede conocer la intención, varias señales débiles apuntan hacia un acceso ajeno, ajustar la regla y volver a revisarla dentro de una semana",
-    "nl": "de het een en van ik te dat die in is niet zijn op aan met als voor er maar om hem dan zou of wat mijn men dit zo door over ze zich bij ook tot je mij uit der daar haar naar heb hoe heeft hebben deze want nog zal sluit de sessies en vraag om een schriftelijke uitleg, haal de machine van het netwerk en bewaar eerst het geheugen, een deel van het logboek ontbreekt, dus de bedoeling blijft onduidelijk, de volgorde past niet bij het onderhoud dat vooraf was gemeld, elke week terug, open de zaak en voeg de ruwe gegevens toe",
-    "it": "il lo la i gli le di del della e è che un una per non in con su da come più ma anche sono questo si nel alla dei delle ha al se era ed essere stato chiudere le sessioni e chiedere una spiegazione scritta, manca una parte del registro e quindi l'intenzione rimane incerta, isolare la macchina e salvare prima la memoria, aprire il caso con gli eventi originali, la regola va rivista la prossima settimana",
-    "pt": "o a os as de do da e é que em um uma para com não por mais como mas foi ao ele das tem à seu sua ou ser quando muito há nos já está eu também só pelo pela até isso ela entre era depois sem mesmo encerrar as sessões e pedir uma explicação por escrito, falta uma parte do registo e por isso a intenção não fica clara, isolar a máquina e guardar primeiro a memória, abrir o caso com os eventos originais, rever a regra na próxima semana",
-    "pl": "i w nie na się z do to że jest o jak po co tak za od ale przez czy dla już jego być tylko lub ten są może tym by był była przed bardzo nad zamknąć sesje konta i poprosić o wyjaśnienie na piśmie, odłączyć od sieci i najpierw zachować obraz pamięci, brakuje części dziennika, więc zamiar pozostaje niejasny, kolejność nie pasuje do żadnych prac zapowiedzianych przez zespół, ten sam ciąg wraca co tydzień i nie obejmuje nowych systemów, założyć sprawę i dołączyć surowe dane",
-    "ru": "и в не на я что он с как это по но они мы она так его за от все у же из был для вы о бы к до когда если уже или ни был того чтобы только нет мне есть закрыть сеансы и запросить письменное объяснение, отключить от сети и сначала сохранить образ памяти, часть журнала отсутствует, поэтому намерение остаётся неясным, порядок действий не совпадает с объявленными работами, открыть дело и приложить исходные события",
-    "sv": "och att det i en jag som på är av för med till den har de inte om ett men var han så från vi när nu man hade där eller efter under också avsluta sessionerna och be om en skriftlig förklaring, en del av loggen saknas och avsikten förblir oklar, koppla bort maskinen från nätet och spara minnet först, justera regeln och kontrollera igen nästa vecka",
-    "cs": "a se v je na že to s z do o ve pro jako by ale po jsou které byl jeho jen už také podle nebo není před tak bylo své ukončit relace a vyžádat si písemné vysvětlení, část záznamu chybí, proto záměr zůstává nejasný, odpojit od sítě a nejprve uložit obraz paměti, upravit pravidlo a příští týden znovu ověřit",
-    "tr": "ve bir bu da için de ile çok gibi daha ama ne o kadar olan olarak sonra en her var ki değil ben mi şey oturumları kapat ve yazılı bir açıklama iste, kaydın bir bölümü eksik, bu yüzden niyet belirsiz kalıyor, makineyi ağdan ayır ve önce belleği sakla, kuralı ayarla ve gelecek hafta yeniden denetle",
+    "en": "the of and to in is that it was for on are as with his they at be this have from or one had by word but not what all were we when your can said there use an each which she do how their if will up other about out many then them these so some her would make like him into time has look two more write go see number no way could people my than first water been call who its now find long down day did get come made may part. My grandmother bakes bread every Saturday, and the whole street smells of it. We walked along the river until the rain began. Nothing else happened, none of it was unusual, and nobody had to do anything further. Leave it open for a while, keep it, watch it, put it away, bring it back, ask for it, write it down.",
+    "de": "der die das und ist nicht ein eine zu den mit sich auf für von dem des im auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei. Meine Großmutter backt jeden Samstag Brot, und die ganze Straße duftet danach. Wir gingen am Fluss entlang, bis der Regen anfing, und kamen erst spät wieder nach Hause.",
+    "fr": "le la les de des du et est que qui dans un une pour pas sur au avec il elle ne se ce cette ces par plus mais ou si leur on son sa ses nous vous ils aux été sont comme tout fait être même aussi. Ma grand-mère fait du pain chaque samedi, et toute la rue en sent l'odeur. Nous avons marché le long de la rivière jusqu'à ce que la pluie commence, puis nous sommes rentrés tard à la maison.",
+    "es": "el la los las de del y es que en un una por con no se su para al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante. Mi abuela hace pan todos los sábados y la calle entera huele a él. Caminamos junto al río hasta que empezó la lluvia y volvimos tarde a casa.",
+    "nl": "de het een en van ik te dat die in is niet zijn op aan met als voor er maar om hem dan zou of wat mijn men dit zo door over ze zich bij ook tot je mij uit der daar haar naar heb hoe heeft hebben deze want nog zal geen moet worden wordt werd waar onder tussen alleen omdat zonder wanneer eerst weer steeds. Mijn grootmoeder bakt elke zaterdag brood en de hele straat ruikt ernaar. Wij liepen langs de rivier totdat het begon te regenen, en kwamen pas laat weer thuis. Het is een mooie dag om buiten te zitten en een boek te lezen. Morgen gaan we naar de markt om appels, kaas en bloemen te kopen voor het feest van mijn zus. De kinderen spelen buiten in de tuin, terwijl hun vader het eten klaarmaakt. Ik heb gisteren een brief geschreven aan een oude vriend die in het noorden woont. Wil je alsjeblieft de deur sluiten en het licht uitdoen voordat je vertrekt? Zij vroeg hoe laat de trein vertrekt en of er nog plaatsen vrij zijn. Het weer was vorige week beter dan deze week, dus blijven wij binnen.",
+    "it": "il lo la i gli le di del della e è che un una per non in con su da come più ma anche sono questo si nel alla dei delle ha al se era ed essere stato deve senza tra dopo prima quando ancora molto tutti ogni cui chi dove perché solo loro suo sua. Mia nonna fa il pane ogni sabato e tutta la strada ne profuma. Abbiamo camminato lungo il fiume finché è cominciata la pioggia e siamo tornati a casa tardi. È una bella giornata per sedersi fuori e leggere un libro. Domani andremo al mercato per comprare mele, formaggio e fiori per la festa di mia sorella. I bambini giocano fuori nel giardino mentre il padre prepara la cena. Ieri ho scritto una lettera a un vecchio amico che vive nel nord. Potresti chiudere la porta e spegnere la luce prima di uscire? Lei chiese a che ora parte il treno e se ci fossero ancora posti liberi. Il tempo era migliore la settimana scorsa, quindi restiamo in casa.",
+    "pt": "o a os as de do da e é que em um uma para com não por mais como mas foi ao ele das tem à seu sua ou ser quando muito há nos já está eu também só pelo pela até isso ela entre era depois sem mesmo deve nenhum todos cada onde porque ainda antes. Minha avó faz pão todos os sábados e a rua inteira cheira a ele. Caminhámos ao longo do rio até começar a chuva e voltámos tarde para casa. Está um bom dia para ficar lá fora e ler um livro. Amanhã vamos ao mercado comprar maçãs, queijo e flores para a festa da minha irmã. As crianças brincam lá fora no jardim enquanto o pai prepara o jantar. Ontem escrevi uma carta a um velho amigo que vive no norte. Podes fechar a porta e apagar a luz antes de sair? Ela perguntou a que horas parte o comboio e se ainda havia lugares. O tempo estava melhor na semana anterior, por isso ficamos em casa.",
+    "pl": "i w nie na się z do to że jest o jak po co tak za od ale przez czy dla już jego być tylko lub ten są może tym by był była przed bardzo nad należy oraz przy bez jeszcze gdy który która które więc nawet pod między. Moja babcia piecze chleb w każdą sobotę i cała ulica nim pachnie. Szliśmy wzdłuż rzeki, aż zaczął padać deszcz, i wróciliśmy późno do domu. To dobry dzień, żeby posiedzieć na dworze i poczytać książkę. Jutro pójdziemy na targ kupić jabłka, ser i kwiaty na święto mojej siostry. Dzieci bawią się w ogrodzie, podczas gdy ojciec przygotowuje obiad. Wczoraj napisałem list do starego przyjaciela, który mieszka na północy. Proszę zamknąć drzwi i zgasić światło przed wyjściem. Ona zapytała, o której godzinie odjeżdża pociąg i czy są jeszcze wolne miejsca. Pogoda była lepsza w zeszłym tygodniu, więc zostajemy w domu. Musimy jeszcze sprawdzić, czy wszystko zostało dobrze zrobione i odłożone na swoje miejsce.",
+    "ru": "и в не на я что он с как это по но они мы она так его за от все у же из был для вы о бы к до когда если уже или ни был того чтобы только нет мне есть при без надо ещё под между который которая поэтому сначала. Моя бабушка печёт хлеб каждую субботу, и вся улица пахнет им. Мы шли вдоль реки, пока не начался дождь, и поздно вернулись домой. Хороший день, чтобы посидеть на улице и почитать книгу. Завтра мы пойдём на рынок купить яблоки, сыр и цветы к празднику моей сестры. Дети играют в саду, пока отец готовит ужин. Вчера я написал письмо старому другу, который живёт на севере. Она спросила, во сколько отходит поезд и есть ли ещё свободные места.",
+    "sv": "och att det i en jag som på är av för med till den har de inte om ett men var han så från vi när nu man hade där eller efter under också ska måste utan mellan innan alla varje bara ännu sedan mycket. Min mormor bakar bröd varje lördag och hela gatan doftar av det. Vi gick längs floden tills regnet började och kom hem sent. I morgon går vi till torget för att köpa äpplen, ost och blommor till min systers fest. Barnen leker ute i trädgården medan pappan lagar mat. I går skrev jag ett brev till en gammal vän som bor i norr. Kan du stänga dörren och släcka ljuset innan du går?",
+    "cs": "a se v je na že to s z do o ve pro jako by ale po jsou které byl jeho jen už také podle nebo není před tak bylo své musí bez mezi ještě když který která proto nejprve každý. Moje babička peče chleba každou sobotu a celá ulice po něm voní. Šli jsme podél řeky, dokud nezačalo pršet, a vrátili jsme se domů pozdě. Zítra půjdeme na trh koupit jablka, sýr a květiny na oslavu mé sestry. Děti si hrají venku na zahradě, zatímco otec připravuje večeři. Včera jsem napsal dopis starému příteli, který bydlí na severu. Zavři prosím dveře a zhasni světlo, než odejdeš.",
+    "tr": "ve bir bu da için de ile çok gibi daha ama ne o kadar olan olarak sonra en her var ki değil ben mi şey önce bütün hiç sadece hem ya ancak çünkü nasıl bile arasında. Büyükannem her cumartesi ekmek yapar ve bütün sokak onunla kokar. Yağmur başlayana kadar nehir boyunca yürüdük ve eve geç döndük. Yarın kız kardeşimin partisi için elma, peynir ve çiçek almaya pazara gideceğiz. Çocuklar dışarıda bahçede oynarken babaları yemek hazırlıyor. Dün kuzeyde yaşayan eski bir arkadaşıma mektup yazdım. Çıkmadan önce kapıyı kapatır mısın?",
 }
 
 
@@ -33,50 +42,63 @@ def prose(text: str) -> str:
     return " ".join(re.findall(r"[^\W\d_]+", _KEEP.sub(" ", text.lower())))
 
 
-def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed character trigrams of all texts (words joined by blanks) and the offsets of each text."""
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed character trigrams and bigrams of all texts (words joined by blanks) and the offsets of each text."""
     clean = ["  " + t + "  " for t in words]
     lens = np.fromiter((len(c) for c in clean), np.int64, len(clean))
     cp = np.frombuffer("".join(clean).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    h = np.zeros(len(cp), np.int64)
+    three, two = np.zeros(len(cp), np.int64), np.zeros(len(cp), np.int64)
     if len(cp) > 2:
-        h[:-2] = (cp[:-2] * 961748927 + cp[1:-1] * 49979687 + cp[2:] * 86028121) >> 3
-    return (h % BUCKETS), np.concatenate([[0], np.cumsum(lens)])
+        three[:-2] = (cp[:-2] * 961748927 + cp[1:-1] * 49979687 + cp[2:] * 86028121) >> 3
+        two[:-1] = (cp[:-1] * 32452843 + cp[1:] * 15485863) >> 3
+    return three % BUCKETS, two % BUCKETS, np.concatenate([[0], np.cumsum(lens)])
 
 
 class LanguageModel:
-    """Log-likelihood tables (bucket x language)."""
+    """Log-likelihood tables (bucket x language) of character trigrams and bigrams."""
 
     def __init__(self, texts: dict[str, list[str]]):
         self.langs = sorted(texts)
-        cols = []
-        for lang in self.langs:
-            n = np.bincount(trigrams([prose(t) for t in texts[lang]])[0], minlength=BUCKETS).astype(float)
-            uniform = 1.0 / BUCKETS
-            p = 0.97 * n / max(1.0, n.sum()) + 0.03 * uniform
-            cols.append(np.log(p))
-        self.table = np.stack(cols, 1).astype(np.float32)
+        codes = [grams([prose(t) for t in texts[lang]])[:2] for lang in self.langs]
+        self.three, self.two = (self._log_shares([c[k] for c in codes]) for k in (0, 1))
+
+    @staticmethod
+    def _log_shares(codes: list[np.ndarray]) -> np.ndarray:
+        """Log probabilities of grams by language; what a language has little text for is taken from all languages alike."""
+        n = np.stack([np.bincount(c, minlength=BUCKETS) for c in codes], 1).astype(float)
+        common = 0.99 * (n / np.maximum(1.0, n.sum(0))).mean(1, keepdims=True) + 0.01 / BUCKETS
+        return np.log((n + SHARED * common) / (n.sum(0) + SHARED)).astype(np.float32)
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Mean log-likelihood per trigram of each text and language, and trigram counts."""
+        """Mean log-likelihood of a character's trigram and bigram, of each text and language, and trigram counts."""
         return self.scores_of_words([prose(t) for t in texts])
 
     def scores_of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        texts = words
-        h, off = trigrams(words)
+        three, two, off = grams(words)
         n = np.maximum(1, np.diff(off) - 2)
-        if not len(h):
-            return np.zeros((len(texts), len(self.langs)), np.float32), n
-        ll = np.stack([np.add.reduceat(self.table[h, k], off[:-1]) for k in range(len(self.langs))], 1)
-        return ll / n[:, None], n
-
-    def foreign_words(self, words: list[str], expected: str = "en", least: int = 12, margin: float = 0.12) -> np.ndarray:
-        """Whether the posterior clearly prefers another language; texts with little prose are not judged."""
+        if not len(three):
+            return np.zeros((len(words), len(self.langs)), np.float32), n
+        ll = np.stack([np.add.reduceat(self.three[three, k] + self.two[two, k], off[:-1]) for k in range(len(self.langs))], 1)
+        return ll / (2 * n[:, None]), n
+
+    def language_of(self, texts: list[str], default: str = "en", lead: float = PROMPT_LEAD) -> str:
+        """The language of highest posterior given all of `texts` together; `default` unless another one leads it by `lead` a gram."""
+        s, n = self.scores(texts)
+        mean = (s * n[:, None]).sum(0) / max(1, n.sum())
+        best = int(mean.argmax())
+        return self.langs[best] if mean[best] - mean[self.langs.index(default)] > lead else default
+
+    def foreign_words(self, words: list[str], expected: str = "en", margin: float = MARGIN, evidence: float = EVIDENCE) -> np.ndarray:
+        """Whether the posterior clearly prefers another language than `expected`: by `margin` a trigram
+        and `evidence` in all, in logarithms, so that a short text needs the plainer signs; or most
+        letters are of no Latin script."""
         s, n = self.scores_of_words(words)
+        if not len(words):
+            return np.zeros(0, bool)
         e = self.langs.index(expected)
-        other = np.delete(s, e, 1).max(1) if len(words) else np.zeros(0)
-        alien = np.array([2 * sum(c > "\u024f" for c in w) > len(w) for w in words], bool) if len(words) else np.zeros(0, bool)
-        return (n >= least) & (alien | (other - s[:, e] > margin))
+        lead = np.delete(s, e, 1).max(1) - s[:, e]
+        other_script = np.array([sum(c > "\u024f" for c in w) > sum("a" <= c <= "\u024f" for c in w) for w in words], bool)
+        return other_script | ((lead > margin) & (lead * n > evidence))
 
 
 def language_code(c):
@@ -85,33 +107,24 @@ def language_code(c):
     return F.when(x.isin(list(SEEDS)), x)
 
 
-def fit_languages(corpus: DataFrame | None, answers: DataFrame | None = None, rows: int = 3000) -> LanguageModel:
-    """Naive Bayes tables from the seeds and a bounded sample: at most `rows` labelled texts of
-    `corpus` (text, lang; German, French, Spanish) and at most `rows` unlabelled texts of
-    `answers`. Each unlabelled text goes to the language the labelled models prefer, English
-    unless another leads clearly, so strays in the sample do not blur the English model.
-    """
+def fit_languages(corpus: DataFrame | None, rows: int = 3000) -> LanguageModel:
+    """Naive Bayes tables from the seeds and a bounded sample: at most about `rows` labelled texts of
+    `corpus` (text, lang; English, German, French, Spanish) of FIT_LEAST to FIT_MOST characters.
+    A text whose label is not what the seeds say is left out: labels are dirty."""
     texts = {k: [v] * 3 for k, v in SEEDS.items()}
     seeds = LanguageModel(texts)
     if corpus is not None:
-        lab = corpus.select("text", language_code(F.col("lang")).alias("l")).where("l in ('de', 'fr', 'es') and length(text) > 40")
-        got = _sample(lab, rows)
+        lab = corpus.select("text", language_code(F.col("lang")).alias("l")).where("l in ('en', 'de', 'fr', 'es')")
+        got = sample_texts(lab, rows)
         for r, ok in zip(got, _agrees(seeds, [r["text"] for r in got], [r["l"] for r in got])):
             if ok:
                 texts[r["l"]].append(r["text"])
-    if answers is not None:
-        some = [r["text"] for r in _sample(answers.where("length(text) > 40"), rows)]
-        scores, _ = LanguageModel(texts).scores(some) if some else (np.zeros((0, len(seeds.langs))), None)
-        e = seeds.langs.index("en")
-        for t, s in zip(some, scores):
-            k = int(s.argmax())
-            texts[seeds.langs[k if s[k] - s[e] > 0.05 else e]].append(t)
     return LanguageModel(texts)
 
 
-def _sample(df: DataFrame, rows: int) -> list:
-    """At most about `rows` rows, spread over the table by a hash of the text; texts over 20,000 characters are passed over."""
-    df = df.where("length(text) <= 20000")
+def sample_texts(df: DataFrame, rows: int) -> list:
+    """At most about `rows` rows of df (text, ...), spread over the table by a hash of the text, of FIT_LEAST to FIT_MOST characters."""
+    df = df.where(f"length(text) between {FIT_LEAST} and {FIT_MOST}")
     n = df.count()
     share = min(1.0, rows / max(1, n))
     return df.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20)).limit(2 * rows).collect()
