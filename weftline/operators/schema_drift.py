@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import json
 from collections import Counter, defaultdict
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,7 +11,8 @@ from pyspark.sql import functions as F
 from weftline.session import spread
 from weftline.storage import materialize
 
-_MAP = "raw_id long, feed string, file_no int, file_name string, line_no int, readable boolean, id string, field string, kind string, value string"
+#: A whole number of at least so many digits does not fit a long and is held as a decimal without places.
+LONG_DIGITS = 19
 #: Share of a file's readable objects that must hold a non-null value for the file to have the field.
 PRESENCE = 0.5
 #: Share of the ids in both files whose values must agree for a renaming.
@@ -23,51 +21,51 @@ AGREEMENT = 0.8
 MOST_COLUMNS = 200
 
 
-def _kind(v) -> str:
-    if isinstance(v, bool):
-        return "boolean"
-    if isinstance(v, int):
-        return "integer"
-    if isinstance(v, float):
-        return "decimal"
-    if isinstance(v, str):
-        return "string"
-    return "array" if isinstance(v, list) else "object"
-
-
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row for each non-null top-level field of a readable object; one row without a field for every line."""
+def _kind(value: Column) -> Column:
+    """string, integer, decimal (a number with a point or an exponent), boolean, array or object; null for a JSON null."""
+    of = F.schema_of_variant(value)
+    digits = F.regexp_extract(of, r"^DECIMAL\((\d+),0\)", 1)
+    return (
+        F.when(of == "VOID", F.lit(None))
+        .when(of == "BOOLEAN", "boolean")
+        .when((of == "BIGINT") | (digits.try_cast("int") >= LONG_DIGITS), "integer")
+        .when(of.startswith("DECIMAL") | of.isin("DOUBLE", "FLOAT"), "decimal")
+        .when(of.startswith("ARRAY"), "array")
+        .when(of.startswith("OBJECT"), "object")
+        .otherwise("string")
+    )
 
-    def bad(_):
-        raise ValueError
 
-    cols = ["raw_id", "feed", "file_no", "file_name", "line_no", "readable", "id", "field", "kind", "value"]
-    for b in batches:
-        out = []
-        for head in b.itertuples(index=False):
-            try:
-                o = json.loads(head.payload, parse_constant=bad) if isinstance(head.payload, str) else None
-            except (ValueError, RecursionError):
-                o = None
-            where = (head.raw_id, head.feed, head.file_no, head.file_name, head.line_no)
-            ok = isinstance(o, dict)
-            key = None
-            if ok and isinstance(o.get("id"), (str, int, float)) and not isinstance(o.get("id"), bool):
-                key = str(o["id"])
-            out.append((*where, ok, key, None, None, None))
-            if ok:
-                out.extend((*where, True, key, k, _kind(v), json.dumps(v, sort_keys=True, ensure_ascii=False)) for k, v in o.items() if v is not None)
-        yield pd.DataFrame(out, columns=cols)
+def _object(payload: Column) -> Column:
+    """The fields of a JSON text that is one object and nothing else; null for any other text."""
+    alone = F.try_parse_json(F.concat(F.lit("["), payload, F.lit("]"))).try_cast("array<variant>")
+    return F.when(F.size(alone) == 1, F.get(alone, F.lit(0)).try_cast("map<string,variant>"))
 
 
-def path_values(raw: DataFrame) -> DataFrame:
-    """Lines of record files as (line, field, raw type, JSON value) rows.
+def path_values(raw: DataFrame, depth: int = 1) -> DataFrame:
+    """Lines of record files as (line, field, raw type, JSON value) rows, by variant functions in one pass.
 
     Unreadable lines, null payloads and JSON that is no object give one row with readable =
     false and no field. Repeated keys in an object: the last one counts. Null values give no row.
+    With a depth above 1 the fields of objects within objects come too, as dotted paths.
     """
+    raw.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    where = ["raw_id", "feed", "file_no", "file_name", "line_no"]
     need = raw.select("raw_id", "feed", F.col("file_no").cast("int"), "file_name", F.col("line_no").cast("int"), "payload")
-    return spread(need.where("feed is not null and file_no is not null"), "raw_id").mapInPandas(_parse, _MAP)
+    lines = spread(need.where("feed is not null and file_no is not null"), "raw_id").select(*where, _object(F.col("payload")).alias("o"))
+    key = F.get(F.map_values(F.map_filter("o", lambda k, _: k == "id")), F.lit(0))
+    lines = lines.withColumns({"readable": F.col("o").isNotNull(), "id": F.when(_kind(key).isin("string", "integer", "decimal"), key.try_cast("string"))})
+    pair = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("variant").alias("value")))
+    each = F.explode(F.concat(pair, F.coalesce(F.map_entries("o"), F.slice(pair, 1, 0))))
+    rows = lines.select(*where, "readable", "id", each.alias("e")).select(*where, "readable", "id", F.col("e.key").alias("field"), "e.value")
+    rows = rows.withColumn("kind", _kind(F.col("value")))
+    out = rows.where("field is null or kind is not null")
+    for _ in range(depth - 1):
+        inner = F.explode(F.map_entries(F.col("value").try_cast("map<string,variant>")))
+        rows = rows.where("kind = 'object'").select(*where, "readable", "id", "field", inner.alias("e"))
+        rows = rows.select(*where, "readable", "id", F.concat_ws(".", "field", "e.key").alias("field"), "e.value").withColumn("kind", _kind(F.col("value")))
+        out = out.unionByName(rows.where("kind is not null"))
+    return out.select(*where, "readable", "id", "field", "kind", F.to_json("value").alias("value"))
 
 
 def file_fields(values: DataFrame) -> DataFrame:
