@@ -18,6 +18,8 @@ KIND_WEIGHTS = {"fact": 1.0, "semantic": 1.0, "episode": 0.8, "session": 0.3}
 TAU_DAYS = 30.0
 #: Query vectors scored per block; the matrix of a block is what is broadcast.
 BLOCK = 1024
+#: Rows scored at once, and decimal places to which scores count as equal.
+SLICE, PLACES = 2048, 9
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -50,15 +52,46 @@ def decode_base64_floats(df: DataFrame, id_col: str, blob_col: str) -> DataFrame
     return df.select(id_col, dec(F.unbase64(blob_col)).alias("vector"))
 
 
-def block_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+class TopK:
+    """The k best scores of each of n queries so far, ties to the smaller id; n x k numbers, whatever is added."""
+
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.ids, self.scores = np.zeros((n, 0), np.int64), np.zeros((n, 0))
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """ids of a batch and their scores (query x row); scores equal to PLACES places are ties."""
+        if scores.shape[1] > self.k:
+            # Whatever ties with the k-th best must stay, so rows are cut by its value, not by number.
+            kth = np.partition(scores, -self.k, axis=1)[:, -self.k]
+            some = (scores >= (kth - 10.0**-PLACES)[:, None]).any(0)
+            ids, scores = ids[some], scores[:, some]
+        self.ids = np.concatenate([self.ids, np.broadcast_to(ids, scores.shape)], 1)
+        self.scores = np.concatenate([self.scores, scores], 1)
+        if self.ids.shape[1] > self.k:
+            order = np.lexsort((self.ids, -np.round(self.scores, PLACES)), axis=1)[:, : self.k]
+            self.ids, self.scores = np.take_along_axis(self.ids, order, 1), np.take_along_axis(self.scores, order, 1)
+
+
+def block_topk(
+    vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", weights: dict[str, tuple[float, Column]] | None = None
+) -> DataFrame:
     """(query_id, id, cosine, rank): exact top k of every query against all rows, in blocks.
 
-    Queries are cut into blocks of BLOCK rows. For each block one matrix product per Arrow batch
+    Queries are cut into blocks of BLOCK rows. For each block one matrix product per Arrow slice
     scores all rows; each task keeps only its k best of each query, and a final rank merges the
     tasks. Neither side is ever crossed row by row.
+
+    weights: name -> (weight of the cosine cut to 0..1, the rest of a row's score as a column of
+    `vectors`). Then the rank is by that score over all rows, for every name from the same
+    product, and (name, score) come out too.
     """
     spark = vectors.sparkSession
     q = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("v")).where(F.col("v").isNotNull())
+    names = list(weights or {"": None})
+    rest = F.array(*[w[1].cast("double") for w in (weights or {}).values()]) if weights else F.array().cast("array<double>")
+    base = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), rest.alias("rest"))
+    hybrid, share = bool(weights), np.array([w[0] for w in (weights or {}).values()])
     out = None
 
     def blocks():
@@ -79,36 +112,33 @@ def block_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
 
         def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             qi, qm = shared.value
-            best: list[np.ndarray] = []
-            ids_, sc = np.zeros(0, np.int64), np.zeros((0, len(qi)))
+            best = [TopK(len(qi), k) for _ in names]
             for b in batches:
                 b = b[[v is not None and len(v) == qm.shape[1] for v in b.v]]
-                if not len(b):
-                    continue
-                x = np.stack([np.asarray(v, float) for v in b.v])
-                nx = np.linalg.norm(x, axis=1, keepdims=True)
-                s = (x / np.where(nx > 0, nx, 1)) @ qm.T
-                all_id = np.concatenate([ids_, b.id.to_numpy()])
-                all_s = np.concatenate([sc, s])
-                keep = np.zeros(len(all_id), bool)
-                top = min(k, len(all_id))
-                for j in range(len(qi)):
-                    o = np.lexsort((all_id, -np.round(all_s[:, j], 12)))[:top]
-                    keep[o] = True
-                ids_, sc = all_id[keep], all_s[keep]
-            if len(ids_):
-                for j in range(len(qi)):
-                    o = np.lexsort((ids_, -np.round(sc[:, j], 12)))[:k]
-                    yield pd.DataFrame({"query_id": qi[j], "id": ids_[o], "cosine": sc[o, j]})
-
-        part = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).mapInPandas(score, "query_id long, id long, cosine double")
+                for lo in range(0, len(b), SLICE):
+                    p = b.iloc[lo : lo + SLICE]
+                    x = np.stack([np.asarray(v, float) for v in p.v])
+                    nx = np.linalg.norm(x, axis=1, keepdims=True)
+                    cos = qm @ (x / np.where(nx > 0, nx, 1)).T
+                    if not hybrid:
+                        best[0].add(p.id.to_numpy(), cos)
+                        continue
+                    extra = np.stack([np.asarray(r, float) for r in p.rest])
+                    for j in range(len(names)):
+                        best[j].add(p.id.to_numpy(), share[j] * np.clip(cos, 0, 1) + extra[:, j])
+            for name, t in zip(names, best):
+                if t.ids.size:
+                    yield pd.DataFrame({"name": name, "query_id": np.repeat(qi, t.ids.shape[1]), "id": t.ids.ravel(), "score": t.scores.ravel()})
+
+        part = base.mapInPandas(score, "name string, query_id long, id long, score double")
         part = materialize(part, "topk-block")
         shared.destroy()
         out = part if out is None else out.unionByName(part)
     if out is None:
-        out = spark.createDataFrame([], "query_id long, id long, cosine double")
-    rk = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 12)), "id"))
-    return out.withColumn("rank", rk).where(F.col("rank") <= k)
+        out = spark.createDataFrame([], "name string, query_id long, id long, score double")
+    rk = F.row_number().over(W.partitionBy("name", "query_id").orderBy(F.desc(F.round("score", PLACES)), "id"))
+    top = out.withColumn("rank", rk).where(F.col("rank") <= k)
+    return top if weights else top.select("query_id", "id", F.col("score").alias("cosine"), "rank")
 
 
 def recency(created_at: Column, now: Column, tau: float = TAU_DAYS) -> Column:
@@ -179,6 +209,38 @@ def hash_embedding(df: DataFrame, id_col: str, text_col: str, dim: int = 64) ->
     return v.select(id_col, "idx", (F.col("s") / length).alias("v"))
 
 
+def exact_median(df: DataFrame, col: str, bins: int = 65536) -> DataFrame:
+    """(median): the exact median of a column without sorting it whole; nulls do not count, no rows give null.
+
+    A histogram of `bins` equal steps between the extremes says in which bins the middle values
+    lie; only the rows of these bins are ranked, and of them only the step they fall in.
+    """
+    d = materialize(df.select(F.col(col).cast("double").alias("x")).where("x is not null"), "median")
+    lo, hi, n = d.agg(F.min("x"), F.max("x"), F.count(F.lit(1))).first()
+    spark = df.sparkSession
+    if not n:
+        return spark.createDataFrame([(None,)], "median double")
+    want = sorted({(n - 1) // 2, n // 2})
+    skip = 0
+    while hi > lo and d.count() > bins:
+        step = (hi - lo) / bins
+        at = F.least(F.lit(bins - 1), F.floor((F.col("x") - lo) / step))
+        upto, cut = skip, []
+        for b, c in sorted(tuple(r) for r in d.groupBy(at).count().collect()):
+            if any(upto <= w < upto + c for w in want):
+                cut.append((b, upto))
+            upto += c
+        part = d.where(at.between(cut[0][0], cut[-1][0]))
+        new_lo, new_hi, kept = part.agg(F.min("x"), F.max("x"), F.count(F.lit(1))).first()
+        if kept == d.count():
+            break
+        d, lo, hi, skip = part, new_lo, new_hi, cut[0][1]
+    if hi == lo:
+        return spark.createDataFrame([(lo,)], "median double")
+    rank = F.row_number().over(W.orderBy("x")) - 1 + skip
+    return d.select("x", rank.alias("r")).where(F.col("r").isin(want)).agg(F.avg("x").alias("median"))
+
+
 def quantise_int8(df: DataFrame, cols: list[str], value: str) -> DataFrame:
     """Adds q (int8 code) and err (absolute error) with one scale per group of `cols`: max|v| / 127."""
     top = df.groupBy(*cols).agg((F.max(F.abs(value)) / 127).alias("scale"))

@@ -33,7 +33,7 @@ _DOT = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda p: CAST
 _TOP = (
     f"e AS (SELECT vec_id, label, embedding, sqrt({_DOT('embedding', 'embedding')}) AS n FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 50 = 0), "
     f"c AS (SELECT q.vec_id AS query_id, q.label AS ql, e.vec_id AS id, e.label AS il, CASE WHEN q.n * e.n > 0 THEN {_DOT('q.embedding', 'e.embedding')} / (q.n * e.n) ELSE 0 END AS cosine FROM q, e), "
-    "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 12) DESC, id) AS rank FROM c)"
+    "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, id) AS rank FROM c)"
 )
 
 
@@ -51,22 +51,27 @@ _AGE = "TIMESTAMP '2031-01-01' - to_days(CAST(id % 90 AS INT))"
 _SC = lambda w: f"{w['cosine']} * greatest(0, least(1, cosine)) + {w['recency']} * exp(-(id % 90) / 30.0) + {w['confidence']} * ((id % 10) / 10.0) + {w['kind']} * (CASE id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 WHEN 2 THEN 0.3 ELSE 0.5 END)"
 
 
-def _scored(cand, weights):
+def _weights(sets):
+    """Weight sets for `block_topk`: what a row's score has besides the cosine is known before any query."""
     now = F.lit("2031-01-01 00:00:00").cast("timestamp")
-    made = F.timestamp_micros(F.unix_micros(now) - (F.col("id") % 90) * 86_400_000_000)
-    kind = F.element_at(F.array(*[F.lit(x) for x in ("fact", "episode", "session", "other")]), (F.col("id") % 4 + 1).cast("int"))
-    return cand.withColumn("score", V.hybrid_score(F.col("cosine"), V.recency(made, now), (F.col("id") % 10) / 10.0, kind, weights))
+    made = F.timestamp_micros(F.unix_micros(now) - (F.col("vec_id") % 90) * 86_400_000_000)
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("fact", "episode", "session", "other")]), (F.col("vec_id") % 4 + 1).cast("int"))
+    return {n: (w["cosine"], V.hybrid_score(F.lit(0.0), V.recency(made, now), (F.col("vec_id") % 10) / 10.0, kind, w)) for n, w in sets.items()}
+
+
+def _hybrid(spark, sf, k, sets):
+    e = embs(spark, sf)
+    return V.block_topk(e, e.where("vec_id % 50 = 0"), k, weights=_weights(sets))
 
 
 @query(
-    f"WITH {_TOP}, s AS (SELECT query_id, id, {_SC(V.WEIGHTS)} AS score FROM r WHERE rank <= 50), h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s) "
+    f"WITH {_TOP}, h AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM (SELECT query_id, id, {_SC(V.WEIGHTS)} AS score FROM c)) "
     f"SELECT query_id, id, round_even(score, 6) AS score, rank FROM h WHERE rank <= {K}"
 )
 def hybrid_rank(spark, sf):
-    """Hybrid score over the 50 nearest by cosine, then top k."""
-    s = _scored(_topk(spark, sf, 50).drop("rank"), V.WEIGHTS)
-    rk = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")).cast("long")
-    return s.withColumn("rank", rk).where(F.col("rank") <= K).select("query_id", "id", F.bround("score", 6).alias("score"), "rank")
+    """Top k by hybrid score over all vectors."""
+    h = _hybrid(spark, sf, K, {"default": V.WEIGHTS})
+    return h.select("query_id", "id", F.bround("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def _budgeted(spark, sf):
@@ -123,28 +128,33 @@ def retrieval_metrics(spark, sf):
     return V.retrieval_metrics(_gold(spark, sf, _topk(spark, sf)), "gold", K)
 
 
+# The weight sets compared.
+WEIGHT_SETS = {
+    "default": {"cosine": 1.0, "recency": 0.15, "confidence": 0.25, "kind": 0.10},
+    "cosine_only": {"cosine": 1.0, "recency": 0.0, "confidence": 0.0, "kind": 0.0},
+    "recency_boost": {"cosine": 1.0, "recency": 0.5, "confidence": 0.1, "kind": 0.1},
+    "confidence_boost": {"cosine": 1.0, "recency": 0.05, "confidence": 0.5, "kind": 0.1},
+    "kind_boost": {"cosine": 0.8, "recency": 0.1, "confidence": 0.2, "kind": 0.5},
+}
+
+
 def _grid() -> dict:
-    base = {"default": V.WEIGHTS, "cosine_only": {"cosine": 1.0, "recency": 0.0, "confidence": 0.0, "kind": 0.0}}
-    return base | {f"grid_r{r}_c{c}": {"cosine": 1.0 - r - c, "recency": r, "confidence": c, "kind": 0.1} for r in (0.0, 0.25, 0.5) for c in (0.0, 0.25, 0.5)}
+    return WEIGHT_SETS | {f"grid_r{r}_c{c}": {"cosine": 1.0 - r - c, "recency": r, "confidence": c, "kind": 0.1} for r in (0.0, 0.25, 0.5) for c in (0.0, 0.25, 0.5)}
 
 
-_GRID = "w AS (" + " UNION ALL ".join(f"SELECT '{n}' AS name, query_id, id, ql = il AND query_id <> id AS is_gold, {_SC(w)} AS score FROM r WHERE rank <= 20" for n, w in _grid().items()) + ")"
+_GRID = "w AS (" + " UNION ALL ".join(f"SELECT '{n}' AS name, query_id, id, ql = il AND query_id <> id AS is_gold, {_SC(w)} AS score FROM c" for n, w in _grid().items()) + ")"
 
 
 @query(
-    f"WITH {_TOP}, {_GRID}, k AS (SELECT *, row_number() OVER (PARTITION BY name, query_id ORDER BY round(score, 9) DESC, id) AS rk FROM w), p AS (SELECT name, query_id, min(rk) FILTER (is_gold) AS first FROM k GROUP BY ALL) "
-    "SELECT name, round_even(avg(coalesce(1.0 / first, 0)), 4) AS mrr FROM p GROUP BY name"
+    f"WITH {_TOP}, {_GRID}, k AS (SELECT *, row_number() OVER (PARTITION BY name, query_id ORDER BY round(score, 9) DESC, id) AS rk FROM w), p AS (SELECT name, query_id, min(rk) FILTER (is_gold AND rk <= 20) AS first FROM k GROUP BY ALL) "
+    "SELECT name, round_even(avg(CASE WHEN first = 1 THEN 1.0 ELSE 0 END), 4) AS hit1, round_even(avg(coalesce(1.0 / first, 0)), 4) AS mrr FROM p GROUP BY name"
 )
 def weight_grid(spark, sf):
-    """MRR of each weight set over the 20 nearest; all sets in one pass."""
-    near = _gold(spark, sf, _topk(spark, sf, 20)).drop("rank")
-    out = None
-    for n, w in _grid().items():
-        s = _scored(near, w).select(F.lit(n).alias("name"), "query_id", "id", "is_gold", "score")
-        out = s if out is None else out.unionByName(s)
-    rk = F.row_number().over(W.partitionBy("name", "query_id").orderBy(F.desc(F.round("score", 9)), "id"))
-    first = out.withColumn("rk", rk).groupBy("name", "query_id").agg(F.min(F.when(F.col("is_gold"), F.col("rk"))).alias("first"))
-    return first.groupBy("name").agg(F.bround(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 4).alias("mrr"))
+    """Hit rate at 1 and MRR of each weight set in its own top 20 over all vectors; all sets from one matrix product."""
+    near = _gold(spark, sf, _hybrid(spark, sf, 20, _grid()))
+    first = near.groupBy("name", "query_id").agg(F.min(F.when(F.col("is_gold"), F.col("rank"))).alias("first"))
+    mean = lambda c: F.bround(F.avg(F.coalesce(c, F.lit(0.0))), 4)
+    return first.groupBy("name").agg(mean((F.col("first") == 1).cast("double")).alias("hit1"), mean(1.0 / F.col("first")).alias("mrr"))
 
 
 @query(
@@ -182,7 +192,7 @@ def median_mean_diff(spark, sf):
     l = _long(spark, sf)  # noqa: E741
     m = l.groupBy("i").agg(F.avg("v").alias("m"))
     d = l.join(F.broadcast(m), "i").groupBy("vec_id").agg(F.avg(F.abs(F.col("v") - F.col("m"))).alias("d"))
-    return d.agg(F.bround(F.median("d"), 6).alias("median_diff"))
+    return V.exact_median(d, "d").select(F.bround("median", 6).alias("median_diff"))
 
 
 @query("SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings")
