@@ -96,3 +96,28 @@ def test_fit_events(spark):
     d = spark.createDataFrame(rows, "i int, e array<struct<imp:int,ts:long,ord:long,text:string>>")
     got = {r.i: r.t for r in d.select("i", fit_events(F.col("e"), budget=30, most=8).alias("t")).collect()}
     assert got[1] == "b" * 10 + " | " + "a" * 10 + " | dd" and got[2] == "x" * 99 and got[3] == got[4] == "" and got[5] == "er | low"
+
+
+def test_topped_up_split_reaches_its_sizes(spark):
+    from weftline.operators.records import topped_up_split
+
+    rows = [(f"c{i % 7}", f"k{i}") for i in range(200)] + [("thin", "t1"), ("thin", "t2"), (None, "x"), ("c0", None), ("c0", "k0")]
+    d = spark.createDataFrame(rows, "category string, dedup_key string")
+    got = topped_up_split(d, "category", "dedup_key", 0.03, 0.06, 5)
+    n = {r["split"]: r["count"] for r in got.groupBy("split").count().collect()}
+    assert sum(n.values()) == 202 and n["val"] >= 6 and n["eval"] >= 12 and got.distinct().count() == 202
+    assert got.where("category = 'thin' and split = 'train'").count() >= 1
+    assert topped_up_split(d.limit(0), "category", "dedup_key", 0.1, 0.1, 5).count() == 0
+
+
+def test_positions_of_sparse_orders(spark):
+    from weftline.operators.positions import positions
+
+    rows = [(f"g{i % 3}" if i % 10 else None, (i * 7919) ** 3) for i in range(500)] + [("g0", None)]
+    d = spark.createDataFrame(rows, "g string, o long")
+    got = {}
+    for r in positions(d, ["g"], "o").collect():
+        got.setdefault(r.g, []).append((r.o if r.o is not None else -1, r.pos, r.group_rows))
+    for v in got.values():
+        assert [p for _, p, _ in sorted(v)] == list(range(len(v))) and {n for *_, n in v} == {len(v)}
+    assert positions(d.limit(0), [], "o").count() == 0

@@ -1,5 +1,7 @@
 import base64
+import random
 import struct
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -35,6 +37,32 @@ def test_bpe_round_trip(spark):
     assert K.decode_bpe(got[1], m) == "low lower lowest " * 20 and got[2] is None and K.decode_bpe(got[3], m) == "ü"
 
 
+def trained_one_by_one(texts, merges, least=2):
+    """Recounts all pairs of all whole texts before every single merge."""
+    seqs = [np.frombuffer(t.encode(), np.uint8).astype(np.int64) for t in texts if t]
+    done = []
+    while len(done) < merges:
+        n = Counter(p for s in seqs for p in zip(s[:-1].tolist(), s[1:].tolist()))
+        best = min(n, key=lambda p: (-n[p], p), default=None)
+        if best is None or n[best] < least:
+            break
+        done.append((*best, 256 + len(done)))
+        seqs = [K.merge_pair(s, *done[-1]) for s in seqs]
+    return done
+
+
+def test_bpe_counts_whole_texts(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdeé \n", k=rng.randint(1, 6))) for _ in range(30)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 60))) for _ in range(40)] + ["a" * 500, "ab" * 300, "", None, "ab" * 300]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = trained_one_by_one(texts, 70)
+    assert len(want) == 70 and K.train_bpe(d, 70) == want
+    e = K.encode_bpe(d, want)
+    assert {r.doc_id: r.text for r in K.decoded_bpe(e, want).collect()} == dict(enumerate(texts))
+    assert K.train_bpe(d.limit(0), 5) == []
+
+
 def test_context_windows_drop_the_rest(spark):
     t = spark.createDataFrame([(1, i, i * 10) for i in range(10)], "doc_id long, pos int, token_id long")
     w = K.context_windows(t, 4).orderBy("window").collect()
@@ -59,6 +87,29 @@ def test_topk_against_numpy(spark, k):
     assert got == want
 
 
+def test_topk_by_weights_ranks_all_rows(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(5000, 6)).round(1)
+    bonus = (rng.integers(0, 4, 5000) / 4).round(2)
+    d = spark.createDataFrame([(i, v.tolist(), float(b)) for i, (v, b) in enumerate(zip(x, bonus))], "vec_id long, embedding array<double>, bonus double").repartition(3)
+    n = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = V.block_topk(d, d.where("vec_id < 4"), 7, weights={"cos": (1.0, F.lit(0.0)), "both": (0.5, F.col("bonus"))}).collect()
+    for name, w, b in (("cos", 1.0, 0 * bonus), ("both", 0.5, bonus)):
+        for q in range(4):
+            s = w * np.clip(n @ n[q], 0, 1) + b
+            want = np.lexsort((np.arange(5000), -np.round(s, 9)))[:7].tolist()
+            assert [r.id for r in sorted((r for r in got if r.name == name and r.query_id == q), key=lambda r: r.rank)] == want
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 999, 1000])
+def test_exact_median(spark, n):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=n).round(2).tolist()
+    d = spark.createDataFrame([(v,) for v in [*x, None]], "x double")
+    got = V.exact_median(d, "x", bins=16).first().median
+    assert got is None if n == 0 else abs(got - np.median(x)) < 1e-12
+
+
 def test_topk_of_nothing(spark):
     d = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert V.block_topk(d, d, 3).count() == 0

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.operators.positions import positions
+
 DIALECTS = ["syslog", "auth", "cef", "json", "winsec", "k8s"]
 
 
@@ -59,13 +60,39 @@ def append_clause(text: Column, clauses: list[Column], limit: int = 420) -> Colu
     return F.coalesce(*[F.when(F.length(F.concat(text, F.lit(" "), c)) <= limit, F.concat(text, F.lit(" "), c)) for c in clauses], text)
 
 
+def grid_walk(spark, sizes: list[int], sweeps: int) -> DataFrame:
+    """(pos, sweep, c0, c1, ...): every cell of a grid in walking order, sweep after sweep.
+
+    The first axis starts one further in each sweep, the others are shifted by the sweep, so no
+    sweep repeats the order of framings of the one before. Made of a range: nothing is looped over.
+    """
+    cells = 1
+    for n in sizes:
+        cells *= n
+    d = spark.range(cells * sweeps).select(F.col("id").alias("pos"), F.floor(F.col("id") / cells).alias("sweep"))
+    step = cells
+    for i, n in enumerate(sizes):
+        step //= n
+        d = d.withColumn(f"c{i}", (F.floor(F.col("pos") / step) % n + F.col("sweep")) % n)
+    return d
+
+
 def fill_grid(grid: DataFrame, have: DataFrame, quotas: DataFrame, key: str = "k", order: str = "pos") -> DataFrame:
     """Grid cells (k, pos) still to be made: per category, the first quota - have cells in grid order.
 
-    A resumed run passes what exists as `have` (k, n) and gets the rest; nothing is replayed."""
-    left = quotas.join(have, key, "left").withColumn("left", F.col("quota") - F.coalesce("n", F.lit(0)))
-    rank = F.row_number().over(W.partitionBy(key).orderBy(order))
-    return grid.withColumn("_r", rank).join(F.broadcast(left.select(key, "left")), key).where(F.col("_r") <= F.col("left")).select(key, order)
+    A resumed run passes what exists as `have` (k, n) and gets the rest; nothing is replayed. Cells
+    are numbered in two levels, so a category of any size is no single task."""
+    left = quotas.join(have, key, "left").withColumn("left", F.col("quota") - F.coalesce("n", F.lit(0))).select(F.col(key).alias("_k"), "left")
+    at = positions(grid.select(key, F.col(order).alias("_at")), [key], "_at")
+    return at.join(left, F.col(key) == F.col("_k")).where(F.col("pos") < F.col("left")).select(key, F.col("_at").alias(order))
+
+
+def backfilled(grid: DataFrame, made: DataFrame, quotas: DataFrame, key: str = "k", order: str = "pos") -> DataFrame:
+    """Cells to be made where some came out as duplicates or rejects: made (k, pos, ok) says which, and for each one that
+    failed the category's next cell in walking order takes its place."""
+    good = made.groupBy(key).agg(F.count_if("ok").alias("n"))
+    fresh = grid.join(made.select(key, order), [key, order], "left_anti")
+    return fill_grid(fresh, good, quotas, key, order)
 
 
 def fill_embeddings(df: DataFrame, embed, text_col: str = "content", vec_col: str = "embedding") -> DataFrame:

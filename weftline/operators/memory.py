@@ -44,6 +44,22 @@ def current_state(events: DataFrame) -> DataFrame:
     return g.where("not gone").select("id", state.alias("state"), F.when(F.col("s") == "dispute", "disputed").otherwise("clear").alias("status"), "seq")
 
 
+def inserted(store: DataFrame, new: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(store with the new records, refused): ids are immutable, so a record whose id is there already is refused;
+    of new records with one id the first by seq is taken. Null ids are refused."""
+    first = new.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("seq").alias("seq"))
+    fresh = first.join(store.select(id_col).distinct(), id_col, "left_anti")
+    taken = new.join(fresh, [id_col, "seq"], "left_semi")
+    return store.unionByName(taken.select(*store.columns)), new.join(fresh, [id_col, "seq"], "left_anti")
+
+
+def conflicts(events: DataFrame) -> DataFrame:
+    """(id, seq): the queue of records whose last word is a dispute, the oldest dispute first; deleted and replaced ones included."""
+    at = F.max(F.when(F.col("action").isin("dispute", "resolve"), F.struct("seq", "action"))).alias("last")
+    g = events.groupBy("id").agg(at, F.bool_or(F.col("action") == "purge").alias("gone"))
+    return g.where("not gone and last.action = 'dispute'").select("id", F.col("last.seq").alias("seq"))
+
+
 def expired(df: DataFrame, now: Column) -> DataFrame:
     """Rows whose expires_at is at or before now; unreadable times never expire."""
     return df.where(F.try_to_timestamp("expires_at") <= now)

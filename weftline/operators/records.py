@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.operators.positions import hash_order, positions
 from weftline.operators.text import content_key, loops_anywhere, loops_in_head, squeeze
+from weftline.storage import materialize
 
 # Fixed values of the record format.
 CLASSES = ["normal", "suspicious", "malicious", "unknown"]
@@ -224,6 +226,35 @@ def stratified_split(df: DataFrame, stratum: str, key: str, val: float = 0.01, e
     return j.withColumn("split", split).drop("_b", "_s", "_bb", "_c", "_before", "_n")
 
 
+def topped_up_split(df: DataFrame, stratum: str, key: str, val: float, evals: float, seed: int) -> DataFrame:
+    """(stratum, key, split): a seeded stratified split that reaches its global sizes.
+
+    Keys are distinct. Per stratum in seeded hash order the first rows go to val and the next to
+    eval, no more than a quarter of the stratum (or one row) each, and one row stays in train. What the
+    rounding and this cap leave short of the global sizes (none under 20 rows) is moved out of
+    train, last stratum and key first, to val and then to eval. Null strata or keys take no part.
+    """
+    d = df.select(stratum, key).where(F.col(stratum).isNotNull() & F.col(key).isNotNull()).distinct()
+    d = positions(d.withColumn("_o", hash_order(F.concat(F.lit(f"{seed}:"), key))), [stratum], "_o", key)
+    n = F.col("group_rows")
+    share = lambda f: F.least(F.bround(n * f).cast("long"), F.greatest(F.lit(1), F.floor(n / 4)))
+    n_val = F.least(share(val), F.greatest(F.lit(0), n - 1))
+    n_eval = F.least(share(evals), F.greatest(F.lit(0), n - n_val - 1))
+    first = F.when(F.col("pos") < n_val, "val").when(F.col("pos") < n_val + n_eval, "eval").otherwise("train")
+    d = materialize(d.select(stratum, key, first.alias("split")), "split-strata")
+    got = {r["split"]: r["count"] for r in d.groupBy("split").count().collect()}
+    total = sum(got.values())
+    want = {k: max(1, round(total * f)) if total >= 20 else 0 for k, f in (("val", val), ("eval", evals))}
+    short = {k: max(0, want[k] - got.get(k, 0)) for k in want}
+    if not sum(short.values()):
+        return d
+    # As many rows as strata are short by rounding, unless more than a quarter is asked for.
+    moved = d.where("split = 'train'").orderBy(F.desc(stratum), F.desc(key)).limit(sum(short.values()))
+    rank = F.row_number().over(W.orderBy(F.desc(stratum), F.desc(key)))
+    moved = materialize(moved.select(stratum, key, F.when(rank <= short["val"], "val").otherwise("eval").alias("to")), "split-moved")
+    return d.join(moved, [stratum, key], "left").select(stratum, key, F.coalesce("to", "split").alias("split"))
+
+
 def hash_share(key: Column, seed: int) -> Column:
     """A number in [0, 1) that depends on key and seed only: the order of a seeded shuffle."""
     return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), key), 256), 1, 12), 16, 10).cast("double") / float(1 << 48)

@@ -159,3 +159,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, id_col: st
     grams = shingles(benchmark, id_col, text_col, n).select("gram").distinct()
     dirty = shingles(docs, id_col, text_col, n).join(grams, "gram", "left_semi").select(id_col).distinct()
     return docs.join(dirty, id_col, "left_anti")
+
+
+def matches(spark, c: Column, pattern: str, ignore_case: bool = False) -> Column:
+    """Whether a text holds the regular expression; a pattern that is none is looked for as it stands."""
+    try:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except Exception:  # noqa: BLE001
+        return F.lower(c).contains(pattern.lower()) if ignore_case else c.contains(pattern)
+    return c.rlike(f"(?i){pattern}" if ignore_case else pattern)

@@ -92,57 +92,107 @@ def merge_pair(ids: np.ndarray, a: int, b: int, new: int) -> np.ndarray:
     return np.delete(out, at + 1)
 
 
-def train_bpe(df: DataFrame, merges: int, least: int = 2, text_col: str = "text", chunk: int = 64) -> list[tuple[int, int, int]]:
+def _streams(b: pd.DataFrame, col: str) -> np.ndarray:
+    """All byte or token sequences of a batch in one array, with -1 before each."""
+    parts = [np.full(1, -1, np.int64)]
+    for v in b[col]:
+        parts += [np.asarray(v, np.int64), np.full(1, -1, np.int64)]
+    return np.concatenate(parts)
+
+
+def _merged(ids: np.ndarray, merges: list[tuple[int, int, int]]) -> np.ndarray:
+    for m in merges:
+        ids = merge_pair(ids, *m)
+    return ids
+
+
+#: Candidate pairs that come to the driver in a round, and merges after which the sequences are written anew.
+BPE_TOP, BPE_REWRITE = 64, 32
+
+
+def train_bpe(df: DataFrame, merges: int, least: int = 2, text_col: str = "text") -> list[tuple[int, int, int]]:
     """Merges (a, b, new id) by falling pair count, ties to the smaller pair.
 
-    Rounds are sequential by nature; each one is a distributed count over distinct chunks of the
-    texts (weighted by how often they occur), and only the best pair comes to the driver. A
-    chunk is a line cut at `chunk` characters, so pairs across chunks are not counted.
+    Every text is one byte sequence, whole, newlines and all; equal texts are one weighted
+    sequence. A round counts adjacent pairs of all sequences in one distributed pass. It takes
+    the best pair, and those after it that no merge before can change: pairs of other tokens with
+    strictly falling counts, since a merge of two tokens makes no pair more frequent than those it
+    takes from.
+    Merged sequences are kept as a table, rewritten every BPE_REWRITE merges, so a pass applies
+    only the latest merges. Only BPE_TOP candidates come to the driver.
     """
-    from weftline.storage import materialize
+    from weftline.storage import drop, materialize
+
+    texts = df.where(F.octet_length(text_col) > 1).groupBy(F.col(text_col).alias("t")).agg(F.count(F.lit(1)).alias("w"))
+
+    def to_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"ids": [np.frombuffer(t.encode("utf-8", "replace"), np.uint8).astype(np.int32) for t in b.t], "w": b.w})
 
-    lines = df.where(F.col(text_col).isNotNull()).select(F.explode(F.split(text_col, "\n")).alias("l"))
-    parts = lines.select(F.explode(F.regexp_extract_all("l", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0))).alias("c"))
-    chunks = materialize(parts.groupBy("c").agg(F.count(F.lit(1)).alias("w")), "bpe-chunks")
+    table = materialize(texts.mapInPandas(to_bytes, "ids array<int>, w long"), "bpe")
     done: list[tuple[int, int, int]] = []
+    fresh: list[tuple[int, int, int]] = []
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got: dict[tuple[int, int], int] = {}
-            for c, w in zip(b.c, b.w):
-                ids = np.frombuffer(c.encode("utf-8", "replace"), np.uint8).astype(np.int64)
-                for x in done:
-                    ids = merge_pair(ids, *x)
-                for p in zip(ids[:-1].tolist(), ids[1:].tolist()):
-                    got[p] = got.get(p, 0) + int(w)
-            yield pd.DataFrame([(*p, n) for p, n in got.items()], columns=["a", "b", "n"])
-
-    for r in range(merges):
-        best = chunks.mapInPandas(count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a", "b").first()
-        if best is None or best["n"] < least:
+            for w, part in b.groupby("w"):
+                ids = _merged(_streams(part, "ids"), fresh)
+                pair = ids[:-1] * (1 << 31) + ids[1:]
+                code, n = np.unique(pair[(ids[:-1] >= 0) & (ids[1:] >= 0)], return_counts=True)
+                yield pd.DataFrame({"a": code >> 31, "b": code & ((1 << 31) - 1), "n": n * int(w)})
+
+    def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"ids": [_merged(np.asarray(v, np.int64), fresh).astype(np.int32) for v in b.ids], "w": b.w})
+
+    while len(done) < merges:
+        counts = table.mapInPandas(count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        top = counts.orderBy(F.desc("n"), "a", "b").limit(BPE_TOP).collect()
+        used: set[int] = set()
+        for i, r in enumerate(top):
+            tied = i and top[i - 1]["n"] == r["n"]
+            if len(done) == merges or (i and (tied or i + 1 == len(top) or top[i + 1]["n"] == r["n"] or {r["a"], r["b"]} & used)):
+                break
+            used |= {r["a"], r["b"]}
+            done.append((r["a"], r["b"], 256 + len(done)))
+            fresh.append(done[-1])
+            if r["a"] == r["b"]:  # what is left of a run may still be the most frequent pair
+                break
+        if not top:
             break
-        done.append((best["a"], best["b"], 256 + r))
+        if len(fresh) >= BPE_REWRITE:
+            old, table = table, materialize(table.mapInPandas(rewrite, "ids array<int>, w long"), "bpe")
+            drop(old)
+            fresh.clear()
     return done
 
 
 def encode_bpe(df: DataFrame, merges: list[tuple[int, int, int]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids): bytes with the merges applied in training order; null gives null."""
+    """(id, ids): bytes with the merges applied in training order, a whole batch at a time; null gives null."""
 
     @F.pandas_udf("array<long>")
     def enc(s: pd.Series) -> pd.Series:
-        def one(t):
-            if t is None:
-                return None
-            ids = np.frombuffer(t.encode("utf-8", "replace"), np.uint8).astype(np.int64)
-            for m in merges:
-                ids = merge_pair(ids, *m)
-            return ids.tolist()
-
-        return s.map(one)
+        some = s.notna().to_numpy()
+        raw = pd.DataFrame({"v": [np.frombuffer(t.encode("utf-8", "replace"), np.uint8) for t in s[some]]})
+        ids = _merged(_streams(raw, "v"), merges)
+        at = np.flatnonzero(ids == -1)
+        out = np.full(len(s), None, object)
+        out[np.flatnonzero(some)] = [ids[i + 1 : j] for i, j in zip(at[:-1], at[1:])] + ([] if some.any() else [])
+        return pd.Series(out)
 
     return df.select(id_col, enc(F.col(text_col)).alias("ids"))
 
 
+def decoded_bpe(encoded: DataFrame, merges: list[tuple[int, int, int]], id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """(id, text): token lists back to text; null gives null."""
+
+    @F.pandas_udf("string")
+    def dec(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: None if v is None else decode_bpe(v, merges))
+
+    return encoded.select(id_col, dec(F.col(ids_col)).alias("text"))
+
+
 def decode_bpe(ids: list[int], merges: list[tuple[int, int, int]]) -> str:
     piece = {i: bytes([i]) for i in range(256)}
     for a, b, new in merges:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.operators import text as T
+from weftline.plans.registering import registering
 from weftline.session import spread, table
 
 QUERIES, ORACLE = {}, {}
+query = registering(QUERIES, ORACLE)
 WS = r"[ \t\n\x0B\f\r]"
 #: Squeezed white space in SQL.
 SQ = (r"regexp_replace(regexp_replace({0}, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')").format
@@ -17,16 +19,6 @@ STRIP = r"list_filter(list_transform(string_split_regex({0}, '\r\n|\n|\r'), lamb
 TRAIN, HELD = "doc_kind IN ('prose', 'note', 'chat') AND source <> 'notes_18'", "source = 'notes_18'"
 
 
-def query(sql: str = ""):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
 def docs(spark, sf):
     return spread(table(spark, sf, "documents"), "doc_id")
 
@@ -211,10 +203,18 @@ def redundancy_ratio(spark, sf):
 @query(f"SELECT doc_id, line_no, line FROM {LINES} WHERE regexp_matches(line, '(?i)tribunal|serv[ei]r') ORDER BY doc_id, line_no LIMIT 50")
 def search_text(spark, sf):
     """Regex search with a hit limit: the limit is the feature."""
-    hit = T.lines_of(docs(spark, sf)).where(F.col("line").rlike("(?i)tribunal|serv[ei]r"))
+    hit = T.lines_of(docs(spark, sf)).where(T.matches(spark, F.col("line"), "tribunal|serv[ei]r", True))
     return hit.withColumn("line_no", F.col("line_no").cast("long")).orderBy("doc_id", "line_no").limit(50)
 
 
+@query(f"SELECT doc_id, line_no, line FROM {LINES} JOIN documents USING (doc_id) WHERE contains(line, '?') AND source GLOB '*notes*' ORDER BY doc_id, line_no LIMIT 50")
+def search_literal(spark, sf):
+    """A pattern that is no regular expression is searched as it stands, in sources that match a glob."""
+    d = docs(spark, sf).where(F.col("source").like("%notes%"))
+    hit = T.lines_of(d).where(T.matches(spark, F.col("line"), "?", True))
+    return hit.withColumn("line_no", F.col("line_no").cast("long")).orderBy("doc_id", "line_no").limit(50).select("doc_id", "line_no", "line")
+
+
 @query(f"WITH n AS (SELECT doc_id, count(*) AS total FROM {LINES} GROUP BY doc_id) SELECT doc_id, line_no, line, CASE WHEN total > 5 THEN 5 END AS next_start FROM {LINES} JOIN n USING (doc_id) WHERE line_no >= 2 AND line_no < 5")
 def sliced_read(spark, sf):
     """Lines start .. start + limit - 1 of each document, with where to go on."""

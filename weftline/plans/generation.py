@@ -6,19 +6,11 @@ from pyspark.sql import functions as F
 
 from weftline.operators import generation as G
 from weftline.operators.records import quotas
+from weftline.plans.registering import registering
 from weftline.session import table
 
 QUERIES, ORACLE = {}, {}
-
-
-def query(sql: str = ""):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
+query = registering(QUERIES, ORACLE)
 
 
 @query(
@@ -63,6 +55,27 @@ def fill_grid(spark, sf):
     return G.fill_grid(g, w.select("k", F.lit(3).alias("n")), quotas(w, 500))
 
 
+@query(
+    "SELECT i AS pos, s AS sweep, (i % 72 // 18 + s) % 4 AS c0, (i % 18 // 6 + s) % 3 AS c1, (i % 6 // 2 + s) % 3 AS c2, (i % 2 + s) % 2 AS c3 FROM (SELECT i, i // 72 AS s FROM range(216) t(i))"
+)
+def grid_walk(spark, sf):
+    """Three sweeps over a grid of 4 x 3 x 3 x 2 framings, each rotated against the one before."""
+    return G.grid_walk(spark, [4, 3, 3, 2], 3)
+
+
+@query(
+    "WITH g AS (SELECT lower(trim(category)) AS k, record_no AS pos FROM records WHERE category IS NOT NULL), n AS (SELECT k, pos, row_number() OVER (PARTITION BY k ORDER BY pos) AS rk FROM g), "
+    "m AS (SELECT k, pos, pos % 4 <> 0 AS ok FROM n WHERE rk <= 20), l AS (SELECT k, 20 - count(*) FILTER (ok) AS l FROM m GROUP BY k) SELECT n.k, n.pos FROM n JOIN l USING (k) WHERE rk > 20 AND rk <= 20 + l"
+)
+def grid_backfill(spark, sf):
+    """Twenty cells a category were tried, one in four failed: the next cells take their places."""
+    g = table(spark, sf, "records").where("category is not null").select(F.lower(F.trim("category")).alias("k"), F.col("record_no").alias("pos"))
+    q = g.select("k").distinct().withColumn("quota", F.lit(20))
+    none = q.select("k", F.lit(0).alias("n"))
+    made = G.fill_grid(g, none, q).withColumn("ok", F.col("pos") % 4 != 0)
+    return G.backfilled(g, made, q)
+
+
 @query("SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 1 ELSE len(embedding) END AS dims FROM embeddings")
 def fill_embeddings(spark, sf):
     """Rows without a vector get one from a given embedder, the others keep theirs."""

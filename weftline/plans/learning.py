@@ -8,19 +8,11 @@ from pyspark.sql import functions as F
 from weftline.operators import memory as M
 from weftline.operators import text as T
 from weftline.operators.positions import positions
+from weftline.plans.registering import registering
 from weftline.session import table
 
 QUERIES, ORACLE = {}, {}
-
-
-def query(sql: str = ""):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
+query = registering(QUERIES, ORACLE)
 
 
 def ev(spark, sf):
@@ -51,6 +43,27 @@ def memory_active(spark, sf):
     return M.current_state(_mutations(spark, sf)).where("state = 'active' and status <> 'disputed'").select("id")
 
 
+@query(
+    f"WITH {_MUT}, g AS (SELECT id, arg_max(action, seq) FILTER (action IN ('dispute', 'resolve')) AS s, max(seq) FILTER (action IN ('dispute', 'resolve')) AS seq, bool_or(action = 'purge') AS gone FROM m GROUP BY id) "
+    "SELECT id, seq FROM g WHERE NOT gone AND s = 'dispute'"
+)
+def conflicts_queue(spark, sf):
+    """Records that are disputed and not resolved."""
+    return M.conflicts(_mutations(spark, sf))
+
+
+@query(
+    "WITH n AS (SELECT user_id AS id, event_id AS seq FROM events WHERE event_id % 3 <> 0), s AS (SELECT user_id AS id, event_id AS seq FROM events WHERE event_id % 3 = 0), f AS (SELECT id, min(seq) AS seq FROM n WHERE id NOT IN (SELECT id FROM s WHERE id IS NOT NULL) GROUP BY id) "
+    "SELECT 'refused' AS what, count(*) AS n FROM n WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.id = n.id AND f.seq = n.seq) UNION ALL SELECT 'stored', (SELECT count(*) FROM s) + (SELECT count(*) FROM f)"
+)
+def guarded_insert(spark, sf):
+    """Inserts under immutable ids: what is stored and what is refused."""
+    e = ev(spark, sf).select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"))
+    store, refused = M.inserted(e.where("seq % 3 = 0"), e.where("seq % 3 <> 0"))
+    n = lambda d, what: d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n")
+    return n(refused, "refused").unionByName(n(store, "stored"))
+
+
 _MEM = (
     "d AS (SELECT doc_id AS seq, 'm' || doc_id AS id, CASE doc_id % 5 WHEN 0 THEN 'fact' WHEN 1 THEN 'semantic' WHEN 2 THEN 'episode' WHEN 3 THEN 'session' ELSE 'guess' END AS kind, text AS content, "
     "CASE doc_id % 4 WHEN 0 THEN 'user' WHEN 1 THEN 'tool' WHEN 2 THEN 'system' ELSE 'import' END AS source, (doc_id % 13) / 10.0 AS confidence, CASE doc_id % 3 WHEN 0 THEN 'verified' WHEN 1 THEN 'unverified' ELSE 'maybe' END AS verification_status, "

@@ -9,22 +9,14 @@ from pyspark.sql import functions as F
 
 from weftline.operators import vectors as V
 from weftline.plans.corpus import docs
+from weftline.plans.registering import registering
 from weftline.session import table
 
 QUERIES, ORACLE = {}, {}
+query = registering(QUERIES, ORACLE)
 K = 5
 
 
-def query(sql: str = ""):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
 def embs(spark, sf):
     return table(spark, sf, "embeddings")
 

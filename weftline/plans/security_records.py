@@ -9,19 +9,11 @@ from weftline.operators import records as R
 from weftline.operators import text as T
 from weftline.operators.positions import positions
 from weftline.plans.corpus import KEY, SQ
+from weftline.plans.registering import registering
 from weftline.session import spread, table
 
 QUERIES, ORACLE = {}, {}
-
-
-def query(sql: str = ""):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
+query = registering(QUERIES, ORACLE)
 
 
 def recs(spark, sf):
@@ -250,6 +242,20 @@ def hash_split(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.when(u < 0.01, "val").when(u < 0.05, "eval").otherwise("train").alias("split"))
 
 
+@query(
+    "WITH d AS (SELECT DISTINCT category AS c, dedup_key AS k FROM records WHERE category IS NOT NULL AND dedup_key IS NOT NULL), "
+    "p AS (SELECT c, k, row_number() OVER (PARTITION BY c ORDER BY CAST('0x' || substring(sha256('20051:' || k), 1, 15) AS BIGINT), k) - 1 AS pos, count(*) OVER (PARTITION BY c) AS n, count(*) OVER () AS total FROM d), "
+    "v AS (SELECT *, least(CAST(round_even(n * 0.03, 0) AS BIGINT), greatest(1, n // 4), greatest(0, n - 1)) AS nv FROM p), e AS (SELECT *, least(CAST(round_even(n * 0.06, 0) AS BIGINT), greatest(1, n // 4), greatest(0, n - nv - 1)) AS ne FROM v), "
+    "f AS (SELECT c, k, total, CASE WHEN pos < nv THEN 'val' WHEN pos < nv + ne THEN 'eval' ELSE 'train' END AS split FROM e), "
+    "s AS (SELECT CASE WHEN any_value(total) >= 20 THEN greatest(0, greatest(1, round_even(any_value(total) * 0.03, 0)) - count(*) FILTER (split = 'val')) ELSE 0 END AS sv, CASE WHEN any_value(total) >= 20 THEN greatest(0, greatest(1, round_even(any_value(total) * 0.06, 0)) - count(*) FILTER (split = 'eval')) ELSE 0 END AS se FROM f), "
+    "t AS (SELECT c, k, row_number() OVER (ORDER BY c DESC, k DESC) AS rk FROM f WHERE split = 'train') "
+    "SELECT f.c AS category, f.k AS dedup_key, CASE WHEN rk <= sv THEN 'val' WHEN rk <= sv + se THEN 'eval' ELSE f.split END AS split FROM f LEFT JOIN t USING (c, k), s"
+)
+def topped_up_split(spark, sf):
+    """Seeded stratified split with at most a quarter of a category held out, topped up to its global sizes."""
+    return R.topped_up_split(recs(spark, sf), "category", "dedup_key", 0.03, 0.06, 20051)
+
+
 @query(
     "WITH r AS (SELECT event_id, row_number() OVER (ORDER BY event_type, sha256(event_id || ':' || event_type), event_id) AS pos, count(*) OVER () AS n FROM events) "
     "SELECT event_id, CASE WHEN pos > n - n * 2 // 100 THEN 'eval' WHEN pos > n - 2 * (n * 2 // 100) THEN 'val' ELSE 'train' END AS split FROM r"

@@ -7,25 +7,18 @@ import uuid
 from pyspark.sql import functions as F
 
 from weftline.plans.learning import _FB
+from weftline.plans.registering import registering
 from weftline.session import table
 from weftline.sources import readers, writers
+from weftline.sources.registry import Registry
 from weftline.storage import checkpoint_dir
 from weftline.streaming import pipelines as P
 
 QUERIES, ORACLE = {}, {}
+query = registering(QUERIES, ORACLE)
 FIELDS = ["id", "source", "tier", "text", "confidence", "verification_status", "context"]
 
 
-def query(sql: str = ""):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
 def work(spark) -> str:
     return f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
@@ -87,14 +80,17 @@ def stream_windows(spark, sf):
 
 
 @query(
-    "WITH s AS (SELECT event_type AS name, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS seq, avg(value) / 100 AS value FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY seq DESC) AS rn FROM s), l AS (SELECT * FROM r WHERE rn <= 5), "
+    "WITH s AS (SELECT event_type AS name, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS seq, avg(value) / 100 + CASE WHEN event_type < 'm' THEN CAST(epoch(date_trunc('day', ts)) AS BIGINT) // 86400 % 100000 * 0.2 ELSE 0 END AS value FROM events GROUP BY event_type, date_trunc('day', ts)), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY seq DESC) AS rn FROM s), l AS (SELECT * FROM r WHERE rn <= 5), "
     "t AS (SELECT *, -(value - lag(value) OVER (PARTITION BY name ORDER BY seq)) AS step, min(value) OVER (PARTITION BY name ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM l), "
     "g AS (SELECT name, avg(step) AS ms, arg_max(value, seq) AS last, arg_max(best, seq) AS best FROM t GROUP BY name) SELECT name, CASE WHEN ms < -0.1 THEN 'regressing' ELSE 'stable' END AS trend FROM g WHERE ms < -0.1 OR (ms <= 0.1 AND last - best > 0.2)"
 )
 def stream_drift(spark, sf):
+    """Names that drift; the values of some rise by a fifth a day, so that there are such names."""
     w = work(spark)
     day = F.unix_timestamp(F.date_trunc("day", F.col("ts").cast("timestamp")))
-    table(spark, sf, "events").groupBy(F.col("event_type").alias("name"), day.alias("seq")).agg((F.avg("value") / 100).alias("value")).write.parquet(f"{w}/points")
+    points = table(spark, sf, "events").groupBy(F.col("event_type").alias("name"), day.alias("seq")).agg((F.avg("value") / 100).alias("value"))
+    points = points.withColumn("value", F.col("value") + F.when(F.col("name") < "m", F.floor(F.col("seq") / 86400) % 100000 * 0.2).otherwise(0))
+    points.write.parquet(f"{w}/points")
     points = spark.readStream.schema("name string, seq long, value double").parquet(f"{w}/points")
     P.drift_watch(points, f"{w}/history", f"{w}/alerts", f"{w}/checkpoint").awaitTermination()
     return spark.read.schema("name string, trend string, drift boolean, batch int, at int").parquet(f"{w}/alerts").select("name", "trend")
@@ -120,6 +116,45 @@ def audit_append(spark, sf):
     return spark.read.parquet(f"{w}/audit").groupBy("file_no").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT file_no, count(*) AS n, CASE WHEN file_no % 2 = 0 THEN 1 ELSE 2 END AS version FROM raw_records GROUP BY file_no")
+def audited_snapshots(spark, sf):
+    """Two commits of audit rows with a snapshot each; an attempt that fails leaves nothing visible."""
+    w = work(spark)
+    raw = table(spark, sf, "raw_records").select("raw_id", "file_no", F.col("landed_at").cast("timestamp").alias("ts"))
+    for part in (0, 1):
+        writers.snapshot(raw.where(f"file_no % 2 = {part}").select("raw_id"), f"{w}/store", raw.where(f"file_no % 2 = {part}"))
+    writers.append_audit(raw.withColumn("version", F.lit(3)), f"{w}/store/audit")  # what a writer leaves that dies before its snapshot shows
+    return writers.committed_audit(spark, f"{w}/store").groupBy("file_no", "version").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT r_name AS name, '2.0.0' AS semver, 3 AS entries FROM region")
+def registry_rollback(spark, sf):
+    """Three versions of each artifact registered, the last promoted, then rolled back by one, over snapshots."""
+    path = f"{work(spark)}/registry"
+    names = [r[0] for r in table(spark, sf, "region").select("r_name").collect()]
+    reg = Registry(spark, path)
+    for n in names:
+        for v in (1, 2, 3):
+            e = reg.register(n, f"{v}.0.0", f"{n}-{v}", "c", f"2031-01-0{v}")
+        reg.promote(n, e["sha256"])
+    reg.save()
+    reg = Registry(spark, path)
+    for n in names:
+        reg.rollback(n)
+    reg.save()
+    now = writers.current(spark, path)
+    return now.groupBy("name").agg(F.max(F.when(F.col("active"), F.col("semver"))).alias("semver"), F.count(F.lit(1)).cast("int").alias("entries"))
+
+
+@query(
+    "SELECT doc_kind, count(*) AS rows, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS characters, CAST(bit_xor(CAST('0x' || substring(sha256(doc_id || ':' || coalesce(text, '')), 1, 15) AS BIGINT)) AS BIGINT) AS digest, "
+    "'squeeze, scrub' AS cleaning_rules, 'length, repetition' AS filters FROM documents GROUP BY doc_kind"
+)
+def corpus_manifest(spark, sf):
+    """Content digest, rules and filters of each part of the corpus."""
+    return writers.manifest(table(spark, sf, "documents"), "doc_kind", "doc_id", "text", ["squeeze", "scrub"], ["length", "repetition"])
+
+
 @query("SELECT vec_id, label FROM embeddings WHERE vec_id % 2 = 0")
 def snapshot_store(spark, sf):
     """A store with a configuration check: only active, embedded rows come back."""
@@ -133,11 +168,23 @@ def snapshot_store(spark, sf):
 
 
 
-@query("SELECT CASE WHEN l_partkey % 50 = 0 THEN 'Bad Label' ELSE lower(l_returnflag) END AS label, count(*) AS rows, count(*) FILTER (l_partkey % 50 <> 0) AS alerts FROM lineitem GROUP BY 1")
-def csv_telemetry(spark, sf):
-    """Positional CSV with malformed rows counted, not fatal."""
+_LABEL = "CASE l_suppkey % 4 WHEN 0 THEN 'Bad Label' WHEN 1 THEN 'normal' WHEN 2 THEN 'smurf' ELSE 'unseen_attack' END"
+
+
+def _telemetry(spark, sf, **how):
     nums = F.transform(F.sequence(F.lit(0), F.lit(40)), lambda i: ((F.col("l_orderkey") + i) % 7).cast("string"))
-    label = F.when(F.col("l_partkey") % 50 == 0, "Bad Label").otherwise(F.lower("l_returnflag"))
-    line = F.array_join(F.concat(nums, F.array(label, F.lit("5"))), ",")
-    a = readers.telemetry_csv(table(spark, sf, "lineitem").select(line.alias("line")))
-    return a.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.count("alert").alias("alerts"))
+    line = F.array_join(F.concat(nums, F.array(F.expr(_LABEL), F.lit("5"))), ",")
+    return readers.telemetry_csv(table(spark, sf, "lineitem").select(line.alias("line")), **how)
+
+
+@query(f"SELECT {_LABEL} AS label, count(*) AS rows, count(*) FILTER (l_suppkey % 4 <> 0) AS alerts, count(*) FILTER (l_suppkey % 4 IN (1, 2)) AS known FROM lineitem GROUP BY 1")
+def csv_telemetry(spark, sf):
+    """Positional CSV of held-out rows: unseen labels are alerts too, malformed rows are counted, not fatal."""
+    a = _telemetry(spark, sf)
+    return a.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.count("alert").alias("alerts"), F.count_if("known").alias("known"))
+
+
+@query(f"SELECT {_LABEL} AS label, count(*) AS rows, count(*) FILTER (l_suppkey % 4 IN (1, 2)) AS alerts FROM lineitem GROUP BY 1")
+def csv_telemetry_domain(spark, sf):
+    """The same rows where only normal and the known attacks are well formed."""
+    return _telemetry(spark, sf, domain=True).groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.count("alert").alias("alerts"))

@@ -7,20 +7,13 @@ from pyspark.sql import functions as F
 
 from weftline.operators import text as T
 from weftline.operators import tokenize as K
+from weftline.operators.positions import hash_order, positions
 from weftline.plans.corpus import LINES, SQ, docs
+from weftline.plans.registering import registering
 from weftline.storage import materialize
 
 QUERIES, ORACLE = {}, {}
-
-
-def query(sql: str = ""):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
+query = registering(QUERIES, ORACLE)
 
 
 _P = r"regexp_extract_all(text, '([A-Za-z0-9'']+| |\n|[^\n])', 0)"
@@ -118,16 +111,54 @@ def context_windows(spark, sf):
     return w.select("doc_id", "window", s("x").alias("xs"), s("y").alias("ys"))
 
 
+MERGES = 64
+
+
+def _merges(spark, sf):
+    return K.train_bpe(docs(spark, sf), MERGES)
+
+
 @query()
 def bpe_merges(spark, sf):
-    m = K.train_bpe(docs(spark, sf), 8)
-    return spark.createDataFrame([(i, *x) for i, x in enumerate(m)], "rank int, a long, b long, new_id long")
+    return spark.createDataFrame([(i, *x) for i, x in enumerate(_merges(spark, sf))], "rank int, a long, b long, new_id long")
 
 
 @query()
 def bpe_encode(spark, sf):
-    m = K.train_bpe(docs(spark, sf), 8)
-    return K.encode_bpe(docs(spark, sf), m).select("doc_id", F.size("ids").alias("tokens"))
+    return K.encode_bpe(docs(spark, sf), _merges(spark, sf)).select("doc_id", F.size("ids").alias("tokens"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def bpe_round_trip(spark, sf):
+    """Every text encoded with the learnt merges and decoded again."""
+    m = _merges(spark, sf)
+    return K.decoded_bpe(K.encode_bpe(docs(spark, sf), m), m)
+
+
+@query("SELECT CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes_total, true AS fewer_tokens, true AS roundtrip_exact, 0 AS unknown_tokens FROM documents")
+def bpe_report(spark, sf):
+    """Quality of the learnt merges over all texts: bytes, whether tokens are fewer, and whether all texts come back."""
+    m = _merges(spark, sf)
+    d = docs(spark, sf).where("text is not null")
+    e = materialize(K.encode_bpe(d, m), "bpe-encoded")
+    back = K.decoded_bpe(e, m).select("doc_id", F.col("text").alias("back"))
+    j = d.join(e, "doc_id").join(back, "doc_id")
+    return j.agg(
+        F.sum(F.octet_length("text").cast("long")).alias("bytes_total"), (F.sum(F.size("ids")) < F.sum(F.octet_length("text"))).alias("fewer_tokens"),
+        F.min(F.col("text") == F.col("back")).alias("roundtrip_exact"), F.count_if(F.exists("ids", lambda x: x >= 256 + len(m))).cast("int").alias("unknown_tokens"),
+    )
+
+
+@query(
+    f"WITH {_VOC}, {_ENC}, n AS (SELECT doc_id, (count(*) - 1) // 128 AS w FROM e GROUP BY doc_id), x AS (SELECT doc_id, unnest(range(w)) AS win FROM n), ep AS (SELECT unnest([0, 1]) AS epoch) "
+    "SELECT epoch, doc_id, win AS \"window\", row_number() OVER (PARTITION BY epoch ORDER BY CAST('0x' || substring(sha256(epoch || ':' || doc_id || ':' || win), 1, 15) AS BIGINT)) - 1 AS pos FROM x, ep"
+)
+def epoch_windows(spark, sf):
+    """Order of all full windows in each epoch: a seeded shuffle by hash, numbered without a global sort."""
+    n = K.encode(docs(spark, sf), _vocab(spark, sf)).groupBy("doc_id").agg(F.floor((F.count(F.lit(1)) - 1) / 128).alias("w")).where("w > 0")
+    x = n.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("w") - 1)).alias("window")).withColumn("epoch", F.explode(F.array(F.lit(0), F.lit(1))))
+    x = x.withColumn("o", hash_order(F.concat_ws(":", "epoch", "doc_id", "window")))
+    return positions(x, ["epoch"], "o").select("epoch", "doc_id", "window", "pos")
 
 
 _CHAT = f"l AS (SELECT doc_id, line_no, line FROM {LINES} JOIN documents d USING (doc_id) WHERE d.doc_kind = 'chat' AND (starts_with(line, 'You:') OR starts_with(line, 'Bot:')))"

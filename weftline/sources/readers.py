@@ -16,6 +16,12 @@ FEATURES = [
     "dsthostserrorrate", "dsthostsrvserrorrate", "dsthostrerrorrate", "dsthostsrvrerrorrate",
 ]
 
+# Attack labels of the training rows; any other label but normal is unknown there.
+ATTACKS = [
+    "back", "buffer_overflow", "ftp_write", "guess_passwd", "imap", "ipsweep", "land", "loadmodule", "multihop", "neptune", "nmap", "perl", "phf",
+    "pod", "portsweep", "rootkit", "satan", "smurf", "spy", "teardrop", "warezclient", "warezmaster",
+]
+
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, file): non-blank lines of text files; files split across tasks."""
@@ -48,17 +54,21 @@ def inbox_rows(df: DataFrame, text: str = "value", path: str = "path") -> DataFr
     return df.select(F.explode(rows).alias("r"), F.col(path)).select("r.*", path).where(F.length(F.trim("text")) > 0)
 
 
-def telemetry_csv(lines: DataFrame, col: str = "line", strict: bool = False) -> DataFrame:
-    """Alert rows of positional CSV lines: 41 features, label, hardness.
+def telemetry_csv(lines: DataFrame, col: str = "line", strict: bool = False, domain: bool = False) -> DataFrame:
+    """(label, known, alert): alert rows of positional CSV lines: 41 features, label, hardness.
 
-    Malformed lines raise when strict, else come out with alert = null for the caller to count."""
-    f = F.split(col, ",")
+    A label is known if it is normal or one of ATTACKS. Held-out rows may have other labels of
+    lower-case letters, digits and underscores; with domain only known ones are well formed. Malformed rows raise
+    when strict, else come out with alert = null for the caller to count."""
+    f = F.split(col, ",", -1)
     n = len(FEATURES)
-    ok = (F.size(f) == n + 2) & F.get(f, F.lit(n)).rlike("^[a-z0-9_]+$")
+    label = F.get(f, F.lit(n))
+    known = F.coalesce(label.isin("normal", *ATTACKS), F.lit(False))
+    ok = (F.size(f) == n + 2) & (known if domain else known | label.rlike("^[a-z0-9_]+$"))
     parts = F.concat_ws(" ", *[F.concat(F.lit(x + "="), F.get(f, F.lit(i))) for i, x in enumerate(FEATURES)])
-    alert = F.concat(F.lit("ALERT "), parts, F.lit(" | EARLY_WARNING "), F.get(f, F.lit(n)), F.lit(" HARDNESS="), F.get(f, F.lit(n + 1)))
+    alert = F.concat(F.lit("ALERT "), parts, F.lit(" | EARLY_WARNING "), label, F.lit(" HARDNESS="), F.get(f, F.lit(n + 1)))
     bad = F.raise_error(F.lit("malformed telemetry row")) if strict else F.lit(None)
-    return lines.select(F.get(f, F.lit(n)).alias("label"), F.when(ok, alert).otherwise(bad.cast("string")).alias("alert"))
+    return lines.select(label.alias("label"), known.alias("known"), F.when(ok, alert).otherwise(bad.cast("string")).alias("alert"))
 
 
 def json_documents(spark: SparkSession, path: str) -> DataFrame:
