@@ -26,7 +26,7 @@ def positions(df: DataFrame, groups: list[str], order: str, tie: str | None = No
     o = F.col(order).cast("long")
     lo, hi, n = df.agg(F.min(o), F.max(o), F.count(F.lit(1))).first()
     span = (hi or 0) - (lo or 0) + 1
-    width = max(1, min(span, span * RANGE_ROWS // max(1, n)))
+    width = max(1, min(span, span * RANGE_ROWS // max(1, n), 1 << 62))
     d = df.withColumn("_range", F.floor(o / width))
     tot = d.groupBy(*groups, "_range").agg(F.count(F.lit(1)).alias("_c"))
     w = W.partitionBy(*groups) if groups else W.partitionBy()
