@@ -131,6 +131,10 @@ def generator_reason(max_input: int = 1200, max_analysis: int = 420) -> Column:
     )
 
 
+#: Fields that every record must have; in a typed table a field that is not there is null.
+REQUIRED = ["input", "classification", "risk", "early_warning", "evidence", "analysis", "recommended_action", "confidence"]
+
+
 def faults(max_input: int = 1200, max_analysis: int = 420) -> dict[str, Column]:
     """Independent invariant checks; one record may fail several."""
     s = lambda c: F.coalesce(F.col(c), F.lit(""))
@@ -140,6 +144,7 @@ def faults(max_input: int = 1200, max_analysis: int = 420) -> dict[str, Column]:
     conf = F.coalesce(F.col("confidence"), F.lit(-1.0))
     noop = is_no_op(s("recommended_action"))
     return {
+        "missing_fields": reduce(lambda a, b: a | b, [F.col(c).isNull() for c in REQUIRED]),
         "bad_classification": ~cls.isin(CLASSES),
         "bad_risk": ~s("risk").isin(list(HARDNESS)),
         "bad_confidence": ~conf.between(0.0, 1.0),
@@ -168,10 +173,12 @@ def faults(max_input: int = 1200, max_analysis: int = 420) -> dict[str, Column]:
 def audit(df: DataFrame, **limits) -> DataFrame:
     """(fault, n): how many records violate each invariant, in one pass, with repeated dedup keys counted too."""
     checks = faults(**limits)
-    one = df.agg(*[F.count_if(c).alias(k) for k, c in checks.items()], F.count(F.lit(1)).alias("_rows"))
-    dup = df.groupBy("dedup_key").agg((F.count(F.lit(1)) - 1).alias("x")).agg(F.coalesce(F.sum("x"), F.lit(0)).alias("n"))
-    pairs = F.array(*[F.struct(F.lit(k).alias("fault"), F.col(k).alias("n")) for k in checks])
-    return one.select(F.explode(pairs).alias("p")).select("p.*").unionByName(dup.select(F.lit("duplicate_record").alias("fault"), "n"))
+    # Grouping by the key first counts repeated keys in the same scan; what is shuffled is one row of counts a key and task.
+    per = df.groupBy("dedup_key").agg(*[F.count_if(c).alias(k) for k, c in checks.items()], (F.count(F.lit(1)) - 1).alias("duplicate_record"))
+    names = [*checks, "duplicate_record"]
+    one = per.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in names])
+    pairs = F.array(*[F.struct(F.lit(k).alias("fault"), F.col(k).alias("n")) for k in names])
+    return one.select(F.explode(pairs).alias("p")).select("p.*")
 
 
 def quotas(counts: DataFrame, total: int, key: str = "k", weight: str = "w") -> DataFrame:

@@ -50,16 +50,24 @@ def vocabulary(counts: DataFrame, size: int, least: int = 2) -> DataFrame:
     return special.withColumn("n", F.lit(0).cast("long")).unionByName(chars.select("token_id", "piece", "n")).unionByName(base.select("token_id", "piece", "n"))
 
 
+#: Vocabularies of up to this many pieces are broadcast, so that texts are not shuffled to look up a blank.
+BROADCAST_PIECES = 1_000_000
+
+
+def _lookup(vocab: DataFrame) -> DataFrame:
+    return F.broadcast(vocab) if vocab.count() <= BROADCAST_PIECES else vocab
+
+
 def encode(df: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, pos, token_id): pieces looked up in the vocabulary, unknown ones as UNK."""
     p = df.select(id_col, F.posexplode(pieces(F.col(text_col))).alias("pos", "piece"))
-    return p.join(vocab.select("piece", "token_id"), "piece", "left").select(id_col, "pos", F.coalesce("token_id", F.lit(UNK).cast("long")).alias("token_id"))
+    return p.join(_lookup(vocab.select("piece", "token_id")), "piece", "left").select(id_col, "pos", F.coalesce("token_id", F.lit(UNK).cast("long")).alias("token_id"))
 
 
 def decode(tokens: DataFrame, vocab: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, text): pieces in order, ids without a piece and UNK as '?'."""
     known = vocab.where(F.col("token_id") != UNK).select("token_id", "piece")
-    p = tokens.join(known, "token_id", "left").withColumn("piece", F.coalesce("piece", F.lit("?")))
+    p = tokens.join(_lookup(known), "token_id", "left").withColumn("piece", F.coalesce("piece", F.lit("?")))
     return p.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), "").alias("text"))
 
 

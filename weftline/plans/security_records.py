@@ -135,6 +135,7 @@ def generator_gate(spark, sf):
 
 _S = lambda c: f"coalesce({c}, '')"
 _FAULTS = {
+    "missing_fields": " OR ".join(f"{c} IS NULL" for c in R.REQUIRED),
     "bad_classification": f"{_S('classification')} NOT IN {_L(R.CLASSES)}", "bad_risk": f"{_S('risk')} NOT IN {_L(R.HARDNESS)}",
     "bad_confidence": "NOT coalesce(confidence, -1) BETWEEN 0 AND 1", "early_warning_not_bool": "early_warning IS NULL",
     "hardness_mismatch": f"hardness IS DISTINCT FROM {_HARD.format('risk')}", "evidence_empty": "coalesce(len(evidence), 0) = 0",

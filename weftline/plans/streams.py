@@ -29,7 +29,7 @@ _IN = f"SELECT id, tier, text FROM feedback WHERE length(trim(text)) > 0 AND len
 def _intake(spark, sf):
     w = work(spark)
     table(spark, sf, "feedback").select(*FIELDS).repartition(4).write.json(f"{w}/inbox")
-    P.run_intake(spark, f"{w}/inbox", f"{w}/accepted", f"{w}/quarantined", f"{w}/checkpoint").awaitTermination()
+    P.run_intake(spark, f"{w}/inbox", f"{w}/accepted", f"{w}/quarantined", f"{w}/checkpoint", status=f"{w}/status").awaitTermination()
     return w
 
 
@@ -43,6 +43,19 @@ def stream_quarantine(spark, sf):
     return spark.read.parquet(f"{_intake(spark, sf)}/quarantined").select("id", "tier", "text")
 
 
+@query(f"SELECT count(*) FILTER (len({_FB}) = 0) AS accepted, count(*) FILTER (len({_FB}) > 0) AS quarantined, true AS pending FROM feedback WHERE length(trim(text)) > 0")
+def stream_status(spark, sf):
+    """What the intake says of its batches."""
+    st = spark.read.parquet(f"{_intake(spark, sf)}/status")
+    return st.agg(F.sum("accepted").alias("accepted"), F.sum("quarantined").alias("quarantined"), F.max("pending").alias("pending"))
+
+
+@query("SELECT id FROM experience WHERE status = 'active' AND id NOT IN (SELECT id FROM experience WHERE kind = 'sft' AND id IS NOT NULL)")
+def pending_examples(spark, sf):
+    e = table(spark, sf, "experience")
+    return P.pending_examples(e.where("status = 'active'"), e.where("kind = 'sft'")).select("id")
+
+
 def _events_stream(spark, sf, flush=False):
     """flush: a last row without key, 400 days on, moves the watermark past all others, so that nothing stays open but its own state."""
     e = table(spark, sf, "events")
@@ -79,23 +92,44 @@ def stream_windows(spark, sf):
     return _finish(P.windowed_counts(s, "ts", "event_type").select("window.start", "event_type", "n"), w)
 
 
-@query(
+_DRIFT = (
     "WITH s AS (SELECT event_type AS name, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS seq, avg(value) / 100 + CASE WHEN event_type < 'm' THEN CAST(epoch(date_trunc('day', ts)) AS BIGINT) // 86400 % 100000 * 0.2 ELSE 0 END AS value FROM events GROUP BY event_type, date_trunc('day', ts)), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY seq DESC) AS rn FROM s), l AS (SELECT * FROM r WHERE rn <= 5), "
     "t AS (SELECT *, -(value - lag(value) OVER (PARTITION BY name ORDER BY seq)) AS step, min(value) OVER (PARTITION BY name ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM l), "
-    "g AS (SELECT name, avg(step) AS ms, arg_max(value, seq) AS last, arg_max(best, seq) AS best FROM t GROUP BY name) SELECT name, CASE WHEN ms < -0.1 THEN 'regressing' ELSE 'stable' END AS trend FROM g WHERE ms < -0.1 OR (ms <= 0.1 AND last - best > 0.2)"
+    "g AS (SELECT name, avg(step) AS ms, arg_max(value, seq) AS last, arg_max(best, seq) AS best FROM t GROUP BY name)"
 )
-def stream_drift(spark, sf):
-    """Names that drift; the values of some rise by a fifth a day, so that there are such names."""
+
+
+def _drift(spark, sf, registry=None):
     w = work(spark)
     day = F.unix_timestamp(F.date_trunc("day", F.col("ts").cast("timestamp")))
     points = table(spark, sf, "events").groupBy(F.col("event_type").alias("name"), day.alias("seq")).agg((F.avg("value") / 100).alias("value"))
     points = points.withColumn("value", F.col("value") + F.when(F.col("name") < "m", F.floor(F.col("seq") / 86400) % 100000 * 0.2).otherwise(0))
     points.write.parquet(f"{w}/points")
     points = spark.readStream.schema("name string, seq long, value double").parquet(f"{w}/points")
-    P.drift_watch(points, f"{w}/history", f"{w}/alerts", f"{w}/checkpoint").awaitTermination()
+    P.drift_watch(points, f"{w}/history", f"{w}/alerts", f"{w}/checkpoint", registry).awaitTermination()
     return spark.read.schema("name string, trend string, drift boolean, batch int, at int").parquet(f"{w}/alerts").select("name", "trend")
 
 
+@query(f"{_DRIFT} SELECT name, CASE WHEN ms < -0.1 THEN 'regressing' ELSE 'stable' END AS trend FROM g WHERE ms < -0.1 OR (ms <= 0.1 AND last - best > 0.2)")
+def stream_drift(spark, sf):
+    """Names that drift; the values of some rise by a fifth a day, so that there are such names."""
+    return _drift(spark, sf)
+
+
+@query(f"{_DRIFT} SELECT name, CASE WHEN ms < -0.1 OR (ms <= 0.1 AND last - best > 0.2) THEN '1.0.0' ELSE '2.0.0' END AS semver FROM g")
+def stream_drift_rollback(spark, sf):
+    """Two versions of each name, the second promoted; names that drift go back to the first."""
+    path = f"{work(spark)}/registry"
+    reg = Registry(spark, path)
+    for r in table(spark, sf, "events").select("event_type").distinct().collect():
+        for v in (1, 2):
+            e = reg.register(r[0], f"{v}.0.0", f"{r[0]}-{v}", "c", f"2031-01-0{v}")
+        reg.promote(r[0], e["sha256"])
+    reg.save()
+    _drift(spark, sf, path)
+    return writers.current(spark, path).where("active").select("name", "semver")
+
+
 @query("SELECT category, count(*) AS n FROM records WHERE input IS NOT NULL GROUP BY category")
 def text_round_trip(spark, sf):
     """Ordered text sink and line scan."""
