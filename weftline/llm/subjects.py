@@ -12,10 +12,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.near_duplicates import mix64
 from weftline.session import spread
 
 #: Buckets of hashed word n-grams; labelled documents used for fitting at most; sentences that make a subject.
-BUCKETS, FIT_DOCUMENTS, LEAST_SENTENCES = 1 << 16, 3_000, 3
+BITS, FIT_DOCUMENTS, LEAST_SENTENCES = 16, 3_000, 3
+BUCKETS = 1 << BITS
+#: Words whose hash a worker remembers.
+CACHE = 500_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _ID = re.compile(r"\b[\w.:/\\-]*\d[\w.:/\\-]*\b")
@@ -32,16 +36,47 @@ def sentences(text: str, kind: str | None) -> list[str]:
     return [p for p in (_MARK.sub("", x).strip() for x in parts) if p]
 
 
-def features(sentence: str) -> list[int]:
-    """Hashed word unigrams, bigrams and trigrams; identifiers are left out, log lines give their sources and events."""
+def tokens(sentence: str) -> tuple[list[str], bool]:
+    """Words between a start and an end mark, identifiers left out; of a log line its sources and events, which make no n-grams."""
     if "app=" in sentence:
-        toks = [f"{k}={v}" for k, v in _PAIR.findall(sentence)]
-        grams = toks
-    else:
-        toks = ["^", *_WORD.findall(_ID.sub(" ", sentence.lower())), "$"]
-        n = len(toks)
-        grams = toks[1:-1] + [" ".join(toks[i : i + 2]) for i in range(n - 1)] + [" ".join(toks[i : i + 3]) for i in range(n - 2)]
-    return sorted({zlib.crc32(g.encode("utf-8", "replace")) % BUCKETS for g in grams})
+        return [f"{k}={v}" for k, v in _PAIR.findall(sentence)], False
+    return ["^", *_WORD.findall(_ID.sub(" ", sentence.lower())), "$"], True
+
+
+_CODES: dict[str, int] = {}
+
+
+def features(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, offsets): distinct hashed word unigrams, bigrams and trigrams of each sentence of a batch, all at once."""
+    if len(_CODES) > CACHE:
+        _CODES.clear()
+    codes, sizes, prose = [], [], []
+    for x in batch:
+        toks, grams = tokens(x)
+        for t in toks:
+            c = _CODES.get(t)
+            if c is None:
+                c = _CODES[t] = zlib.crc32(t.encode("utf-8", "replace"))
+            codes.append(c)
+        sizes.append(len(toks))
+        prose.append(grams)
+    n = np.asarray(sizes, np.int64)
+    row = np.repeat(np.arange(len(n)), n)
+    h = mix64(np.asarray(codes, np.uint64))
+    inner = np.ones(len(h), bool)
+    gram = np.repeat(np.asarray(prose, bool), n)
+    ends = np.cumsum(n)
+    marks = np.asarray(prose, bool) & (n > 0)
+    inner[ends[marks] - 1] = inner[(ends - n)[marks]] = False
+    keys = [(row[inner], h[inner])]
+    with np.errstate(over="ignore"):
+        for k in (1, 2):
+            same = (row[k:] == row[:-k]) & gram[k:] if len(h) > k else np.zeros(0, bool)
+            g = h[:-k] * np.uint64(3) + h[k:] * np.uint64(5) + (h[1:-1] * np.uint64(7) if k == 2 else np.uint64(1)) if len(h) > k else h[:0]
+            keys.append((row[: len(same)][same], mix64(g[same])))
+    at = np.concatenate([(r.astype(np.int64) << BITS) | (g % np.uint64(BUCKETS)).astype(np.int64) for r, g in keys])
+    at = np.unique(at)
+    return at & (BUCKETS - 1), np.searchsorted(at >> BITS, np.arange(len(n) + 1))
 
 
 class SubjectModel:
@@ -53,28 +88,26 @@ class SubjectModel:
         self.bias = np.full(len(subjects), -1.0, np.float32)
         self.cut = np.zeros(len(subjects), np.float32)
 
-    def scores(self, feats: list[list[int]]) -> np.ndarray:
+    def scores(self, flat: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Mean feature weight plus bias per sentence and subject, scaled by the root of the length."""
-        off = np.concatenate([[0], np.cumsum([len(f) for f in feats])]).astype(int)
-        out = np.tile(self.bias, (len(feats), 1))
+        out = np.tile(self.bias, (len(off) - 1, 1))
         full = np.flatnonzero(np.diff(off))
         if len(full):
-            flat = np.fromiter((x for f in feats for x in f), int, off[-1])
             norm = np.sqrt(np.diff(off)[full])[:, None]
             out[full] += np.add.reduceat(self.weights[flat], off[:-1][full], 0) / norm
         return out
 
     def subjects_of(self, texts: list[str | None], kinds: list[str | None], least: int = LEAST_SENTENCES) -> list[list[str]]:
         """Subjects with at least `least` sentences about them; a sentence is about its best subject if above the cut."""
-        feats, owner = [], []
+        parts, owner = [], []
         for i, (t, k) in enumerate(zip(texts, kinds)):
-            for s in sentences(t, k) if t else []:
-                feats.append(features(s))
-                owner.append(i)
+            got = sentences(t, k) if t else []
+            parts += got
+            owner += [i] * len(got)
         out: list[list[str]] = [[] for _ in texts]
-        if not feats:
+        if not parts:
             return out
-        z = self.scores(feats) - self.cut
+        z = self.scores(*features(parts)) - self.cut
         best = z.argmax(1)
         hit = z[np.arange(len(z)), best] > 0
         counts = np.zeros((len(texts), len(self.subjects)), int)
@@ -93,21 +126,20 @@ def fit_subjects(docs: list[tuple[str, str | None, set[str]]], subjects: list[st
     only the document's own subjects, each with at least three sentences.
     """
     index = {s: k for k, s in enumerate(subjects)}
-    feats, owner, kinds = [], [], []
+    parts, owner = [], []
     for i, (t, k, _) in enumerate(docs):
-        for s in sentences(t, k):
-            feats.append(features(s))
-            owner.append(i)
+        got = sentences(t, k)
+        parts += got
+        owner += [i] * len(got)
     model = SubjectModel(subjects)
-    if not feats:
+    if not parts:
         return model
+    flat, off = features(parts)
     owner_a = np.asarray(owner)
     own = np.zeros((len(docs), len(subjects)), bool)
     for i, (_, _, y) in enumerate(docs):
         own[i, [index[s] for s in y if s in index]] = True
-    off = np.concatenate([[0], np.cumsum([len(f) for f in feats])]).astype(int)
-    flat = np.fromiter((x for f in feats for x in f), int, off[-1])
-    row = np.repeat(np.arange(len(feats)), np.diff(off))
+    row = np.repeat(np.arange(len(parts)), np.diff(off))
     # Over-representation of each n-gram under each subject, per document.
     n_docs, base = np.zeros(BUCKETS), np.zeros((BUCKETS, len(subjects)))
     seen = np.unique(np.stack([flat, owner_a[row]], 1), axis=0)
@@ -116,7 +148,7 @@ def fit_subjects(docs: list[tuple[str, str | None, set[str]]], subjects: list[st
     prior = own.mean(0) + 1e-3
     lift = np.log((base + 2 * prior) / ((n_docs + 2)[:, None] * prior))
     lift *= np.minimum(1.0, n_docs / 4)[:, None]
-    z = np.zeros((len(feats), len(subjects)))
+    z = np.zeros((len(parts), len(subjects)))
     np.add.at(z, row, lift[flat])
     z /= np.maximum(1, np.diff(off))[:, None]
     z -= 0.35
@@ -133,13 +165,13 @@ def fit_subjects(docs: list[tuple[str, str | None, set[str]]], subjects: list[st
                 label[best_of] = j
         model = SubjectModel(subjects)
         norm = 1 / np.sqrt(np.maximum(1, np.diff(off)))
-        y = np.zeros((len(feats), len(subjects)), np.float32)
+        y = np.zeros((len(parts), len(subjects)), np.float32)
         y[np.flatnonzero(label >= 0), label[label >= 0]] = 1
         g2 = np.full((BUCKETS, len(subjects)), 1e-6, np.float32)
         b2 = np.full(len(subjects), 1e-6, np.float32)
         rng = np.random.default_rng(5)
         for _ in range(epochs):
-            order = rng.permutation(len(feats))
+            order = rng.permutation(len(parts))
             for lo in range(0, len(order), 256):
                 ids = order[lo : lo + 256]
                 fl = np.concatenate([flat[off[i] : off[i + 1]] for i in ids]) if len(ids) else flat[:0]
@@ -160,7 +192,7 @@ def fit_subjects(docs: list[tuple[str, str | None, set[str]]], subjects: list[st
                 gb = e.sum(0)
                 b2 += gb * gb
                 model.bias -= 0.5 * gb / np.sqrt(b2)
-        z = model.scores(feats)
+        z = model.scores(flat, off)
     # Calibrate each subject's cut on the labelled documents: best F1 of "three sentences above it".
     counts_at = []
     cuts = np.linspace(-2.5, 2.5, 21)
