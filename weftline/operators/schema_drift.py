@@ -21,18 +21,19 @@ AGREEMENT = 0.8
 MOST_COLUMNS = 200
 
 
-def _kind(value: Column) -> Column:
-    """string, integer, decimal (a number with a point or an exponent), boolean, array or object; null for a JSON null."""
+def _kind(text: Column, value: Column) -> Column:
+    """string, integer, decimal (a number with a point or an exponent), boolean, array or object; null for a JSON null.
+
+    The JSON text tells all but numbers apart; only these are asked for their type."""
+    first = F.substring(text, 1, 1)
     of = F.schema_of_variant(value)
-    digits = F.regexp_extract(of, r"^DECIMAL\((\d+),0\)", 1)
+    whole = (of == "BIGINT") | (F.regexp_extract(of, r"^DECIMAL\((\d+),0\)", 1).try_cast("int") >= LONG_DIGITS)
     return (
-        F.when(of == "VOID", F.lit(None))
-        .when(of == "BOOLEAN", "boolean")
-        .when((of == "BIGINT") | (digits.try_cast("int") >= LONG_DIGITS), "integer")
-        .when(of.startswith("DECIMAL") | of.isin("DOUBLE", "FLOAT"), "decimal")
-        .when(of.startswith("ARRAY"), "array")
-        .when(of.startswith("OBJECT"), "object")
-        .otherwise("string")
+        F.when(first == '"', "string")
+        .when(first == "[", "array")
+        .when(first == "{", "object")
+        .when(first.isin("t", "f"), "boolean")
+        .when(first != "n", F.when(whole, "integer").otherwise("decimal"))
     )
 
 
@@ -53,19 +54,20 @@ def path_values(raw: DataFrame, depth: int = 1) -> DataFrame:
     where = ["raw_id", "feed", "file_no", "file_name", "line_no"]
     need = raw.select("raw_id", "feed", F.col("file_no").cast("int"), "file_name", F.col("line_no").cast("int"), "payload")
     lines = spread(need.where("feed is not null and file_no is not null"), "raw_id").select(*where, _object(F.col("payload")).alias("o"))
-    key = F.get(F.map_values(F.map_filter("o", lambda k, _: k == "id")), F.lit(0))
-    lines = lines.withColumns({"readable": F.col("o").isNotNull(), "id": F.when(_kind(key).isin("string", "integer", "decimal"), key.try_cast("string"))})
+    lines = lines.withColumns({"readable": F.col("o").isNotNull(), "key": F.try_element_at("o", F.lit("id"))}).withColumn("key_text", F.to_json("key"))
+    lines = lines.withColumn("id", F.when(F.col("key_text").rlike('^["0-9-]'), F.col("key").try_cast("string")))
     pair = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("variant").alias("value")))
     each = F.explode(F.concat(pair, F.coalesce(F.map_entries("o"), F.slice(pair, 1, 0))))
     rows = lines.select(*where, "readable", "id", each.alias("e")).select(*where, "readable", "id", F.col("e.key").alias("field"), "e.value")
-    rows = rows.withColumn("kind", _kind(F.col("value")))
+    typed = lambda d: d.withColumn("text", F.to_json("value")).withColumn("kind", _kind(F.col("text"), F.col("value")))
+    rows = typed(rows)
     out = rows.where("field is null or kind is not null")
     for _ in range(depth - 1):
         inner = F.explode(F.map_entries(F.col("value").try_cast("map<string,variant>")))
         rows = rows.where("kind = 'object'").select(*where, "readable", "id", "field", inner.alias("e"))
-        rows = rows.select(*where, "readable", "id", F.concat_ws(".", "field", "e.key").alias("field"), "e.value").withColumn("kind", _kind(F.col("value")))
+        rows = typed(rows.select(*where, "readable", "id", F.concat_ws(".", "field", "e.key").alias("field"), "e.value"))
         out = out.unionByName(rows.where("kind is not null"))
-    return out.select(*where, "readable", "id", "field", "kind", F.to_json("value").alias("value"))
+    return out.select(*where, "readable", "id", "field", "kind", F.col("text").alias("value"))
 
 
 def file_fields(values: DataFrame) -> DataFrame:
