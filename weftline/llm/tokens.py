@@ -80,12 +80,17 @@ def boundaries(cp: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts)
 
 
+def read_vocabulary(name: str, folder: str) -> bytes:
+    with open(os.path.join(folder, name), "rb") as f:
+        return f.read()
+
+
 class Vocabulary:
     """Ranks of byte strings, and rank-ordered merging with a cache of slices."""
 
-    def __init__(self, name: str = "byte_bpe_50k.tiktoken", folder: str = VOCABULARIES):
-        with open(os.path.join(folder, name), "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    def __init__(self, name: str = "byte_bpe_50k.tiktoken", folder: str = VOCABULARIES, data: bytes | None = None):
+        lines = (read_vocabulary(name, folder) if data is None else data).splitlines()
+        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.cache: dict[str, list[int]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
@@ -143,10 +148,10 @@ class Vocabulary:
 _HELD: dict[tuple[str, str], Vocabulary] = {}
 
 
-def vocabulary(name: str, folder: str) -> Vocabulary:
-    """One vocabulary per worker process."""
+def vocabulary(name: str, folder: str, data: bytes | None = None) -> Vocabulary:
+    """One vocabulary per process; data: its file's content, where the folder is not at hand."""
     if (name, folder) not in _HELD:
-        _HELD[name, folder] = Vocabulary(name, folder)
+        _HELD[name, folder] = Vocabulary(name, folder, data)
     return _HELD[name, folder]
 
 
@@ -156,11 +161,13 @@ def encode(df: DataFrame, id_col: str, text_col: str, name: str = "byte_bpe_50k.
     Strings that look like special tokens are ordinary text. Texts of any length are encoded
     whole. Repeated rows are encoded each; extra columns are ignored; an empty table gives no
     rows. With `offsets` a list `starts` goes along: for each id the character where its slice
-    of the text begins, so that a run of ids can be traced back. Map-only: no shuffle.
+    of the text begins, so that a run of ids can be traced back. Map-only: no shuffle. The vocabulary's file is
+    read on the driver and broadcast (a megabyte or so), so executors need no such folder.
     """
+    shared = df.sparkSession.sparkContext.broadcast(read_vocabulary(name, folder))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(name, folder)
+        vocab = vocabulary(name, folder, shared.value)
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
