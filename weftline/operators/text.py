@@ -38,15 +38,15 @@ def pipe_lines(c: Column) -> Column:
     return F.array_join(strip_lines(c), " | ")
 
 
+# What frames the text of a public book file.
+BANNER = r"(?s)\*\*\* (START|END) OF (THIS|THE) PROJECT GUTENBERG EBOOK .*?\*\*\*\s*"
+RULE = r"^(-{5,}|_{5,}|={5,}|#{5,}|\.{5,})$"
+MARK, FRAMES = "[Illustration", ["Project Gutenberg", "www.gutenberg.org"]
+
+
 def clean_boilerplate(c: Column) -> Column:
     """Without start and end banners, rules, illustration marks and repeated blanks; ends in one newline."""
-    t = F.regexp_replace(c, r"(?s)\*\*\* (START|END) OF (THIS|THE) PROJECT GUTENBERG EBOOK .*?\*\*\*\s*", "")
-    keep = F.filter(
-        strip_lines(t),
-        lambda x: ~x.rlike(r"^(-{5,}|_{5,}|={5,}|#{5,}|\.{5,})$")
-        & ~x.startswith("[Illustration")
-        & ~x.isin("Project Gutenberg", "www.gutenberg.org"),
-    )
+    keep = F.filter(strip_lines(F.regexp_replace(c, BANNER, "")), lambda x: ~x.rlike(RULE) & ~x.startswith(MARK) & ~x.isin(FRAMES))
     t = F.regexp_replace(F.array_join(keep, "\n"), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
     return F.concat(F.regexp_replace(t, r"[ \t]{2,}", " "), F.lit("\n"))
 
