@@ -15,18 +15,19 @@ def hash_order(text: Column) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
 
 
-def positions(df: DataFrame, groups: list[str], order: str, tie: str | None = None) -> DataFrame:
+def positions(df: DataFrame, groups: list[str], order: str, width: int | None = None, tie: str | None = None) -> DataFrame:
     """Adds `pos` (from 0, by the integer column `order` within each group) and `group_rows`.
 
     Two levels: totals of ranges of order values are summed up per group, and rows are ranked only
-    within their range, so a group of any size is numbered in parallel. The width of a range
-    follows from the extremes and the number of rows, so sparse orders (hashes) get wide ranges.
+    within their range, so a group of any size is numbered in parallel. The width of a range,
+    where none is given, follows from the extremes and the number of rows, so sparse orders (hashes) get wide ranges.
     Null group values form a group; rows with a null order come first; equal orders go by `tie`.
     """
     o = F.col(order).cast("long")
-    lo, hi, n = df.agg(F.min(o), F.max(o), F.count(F.lit(1))).first()
-    span = (hi or 0) - (lo or 0) + 1
-    width = max(1, min(span, span * RANGE_ROWS // max(1, n), 1 << 62))
+    if width is None:
+        lo, hi, n = df.agg(F.min(o), F.max(o), F.count(F.lit(1))).first()
+        span = (hi or 0) - (lo or 0) + 1
+        width = max(1, min(span, span * RANGE_ROWS // max(1, n), 1 << 62))
     d = df.withColumn("_range", F.floor(o / width))
     tot = d.groupBy(*groups, "_range").agg(F.count(F.lit(1)).alias("_c"))
     w = W.partitionBy(*groups) if groups else W.partitionBy()

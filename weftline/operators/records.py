@@ -242,7 +242,7 @@ def topped_up_split(df: DataFrame, stratum: str, key: str, val: float, evals: fl
     train, last stratum and key first, to val and then to eval. Null strata or keys take no part.
     """
     d = df.select(stratum, key).where(F.col(stratum).isNotNull() & F.col(key).isNotNull()).distinct()
-    d = positions(d.withColumn("_o", hash_order(F.concat(F.lit(f"{seed}:"), key))), [stratum], "_o", key)
+    d = positions(d.withColumn("_o", hash_order(F.concat(F.lit(f"{seed}:"), key))), [stratum], "_o", tie=key)
     n = F.col("group_rows")
     share = lambda f: F.least(F.bround(n * f).cast("long"), F.greatest(F.lit(1), F.floor(n / 4)))
     n_val = F.least(share(val), F.greatest(F.lit(0), n - 1))
