@@ -75,7 +75,8 @@ def features(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
             g = h[:-k] * np.uint64(3) + h[k:] * np.uint64(5) + (h[1:-1] * np.uint64(7) if k == 2 else np.uint64(1)) if len(h) > k else h[:0]
             keys.append((row[: len(same)][same], mix64(g[same])))
     at = np.concatenate([(r.astype(np.int64) << BITS) | (g % np.uint64(BUCKETS)).astype(np.int64) for r, g in keys])
-    at = np.unique(at)
+    at.sort()
+    at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
     return at & (BUCKETS - 1), np.searchsorted(at >> BITS, np.arange(len(n) + 1))
 
 
