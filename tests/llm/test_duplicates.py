@@ -1,11 +1,13 @@
 import random
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from weftline.llm.components import connected_components
 from weftline.llm.format_duplicates import format_duplicates, format_representatives
-from weftline.llm.near_duplicates import near_duplicate_groups
+from weftline.llm.near_duplicates import HI, LO, OWN, RARE, _met, near_duplicate_groups
 from weftline.llm.split_overlap import overlap_counts, split_overlaps
 
 
@@ -172,3 +174,30 @@ def test_overlaps_of_crowded_spans_against_all_pairs(spark, hot):
     want = {(a, b) if splits[a] == "train" else (b, a) for a, b in links([t.replace("=", " ") for t in texts], 7, 10) if splits[a] != splits[b]}
     got = {(r.train_id, r.held_id) for r in split_overlaps(df, "i", "t", "s", num=7, den=10, hot=hot).collect()}
     assert len(want) > 300 and got == want
+
+
+@pytest.mark.parametrize("sides", [(LO | HI,), (LO, LO, LO, HI), (LO, HI, LO | HI)])
+def test_posts_of_common_keys_meet_in_blocks(sides):
+    """Runs of 1 to 4,200 posts cut into batches anywhere: the pairs of a comparison of all with all."""
+    rng = np.random.default_rng(3)
+    k = np.repeat(np.arange(9) - 4, [1, 4200, 2, 16, 17, 40, 1, 700, 3])
+    m = len(k)
+    rare = np.isin(k, [-3, -1, 1, 4])
+    cid, n, slack = rng.permutation(m) // 2, rng.integers(20, 60, m), rng.integers(-40, 120, m)
+    flags = np.array(sides)[rng.integers(0, len(sides), m)] | np.where(rare, RARE, np.where(rng.random(m) < 0.5, OWN, 0))
+    meta = (n << 34) | ((slack + (1 << 29)) << 4) | flags
+    base = rng.integers(0, 2**62, (6, 2))
+    b0, b1 = (base[rng.integers(0, 6, m), i] ^ (1 << rng.integers(0, 62, m)) ^ (1 << rng.integers(0, 62, m)) for i in (0, 1))
+    b1 = np.where(rare, b1, 0)
+    want = set()
+    for key in np.unique(k):
+        i = np.flatnonzero(k == key)
+        x, y = (v.ravel() for v in np.meshgrid(i, i, indexing="ij"))
+        apart = (np.bitwise_count(b0[x] ^ b0[y]) + np.bitwise_count(b1[x] ^ b1[y])).astype(int) * 17
+        near = np.where(rare[x], apart <= 3 * (n[x] + n[y]) + 34, ((flags[x] | flags[y]) & OWN != 0) & (apart <= slack[x] + slack[y]))
+        near &= (cid[x] < cid[y]) & ((np.minimum(n[x], n[y]) + 1) * 10 >= np.maximum(n[x], n[y]) * 7)
+        near &= ((flags[x] & LO != 0) & (flags[y] & HI != 0)) | ((flags[y] & LO != 0) & (flags[x] & HI != 0))
+        want |= set(zip(cid[x[near]].tolist(), cid[y[near]].tolist()))
+    posts = pa.RecordBatch.from_arrays([pa.array(c) for c in (k, cid, meta, b0, b1)], names=["k", "cid", "meta", "b0", "b1"])
+    got = [b for b in _met(7, 10)(posts.slice(i, 1237) for i in range(0, m, 1237))]
+    assert {p for b in got for p in zip(*(c.to_pylist() for c in b.columns))} == want and len(want) > 1000

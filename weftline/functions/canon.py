@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORD_RE = r"([\p{L}\p{N}]+)"
+WORD_RE = r"[\p{L}\p{N}]+"
 #: A field name in any of the layouts `k=v`, `k: v`, `"k": "v"`, `k = 'v'`.
 FIELD_RE = r"(?<![\p{L}\p{N}])(\p{L}+)[\"'”’]?[\s\p{Z}]*[=:]"
 
@@ -17,12 +17,12 @@ def letters_only(c: Column) -> Column:
 
 def words(*cols: Column) -> Column:
     """All words (longest runs of letters and digits, lower case) of the columns in order; nulls count as empty."""
-    return F.regexp_extract_all(F.lower(F.concat_ws(" ", *cols)), F.lit(WORD_RE), F.lit(1))
+    return F.regexp_extract_all(F.lower(F.concat_ws(" ", *cols)), F.lit(WORD_RE), F.lit(0))
 
 
 def word_set(*cols: Column) -> Column:
     """Distinct words as sorted 32-bit hashes: compact, and all that set similarity needs."""
-    return F.array_sort(F.array_distinct(F.transform(words(*cols), lambda w: F.hash(w))))
+    return F.sort_array(F.array_distinct(F.transform(words(*cols), lambda w: F.hash(w))))
 
 
 def field_pairs(c: Column) -> Column:

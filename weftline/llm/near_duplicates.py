@@ -24,6 +24,8 @@ LEVEL_STEP, LEAST_LEVEL = 0.6, 6
 BROADCAST_IDS = 1_000_000
 #: Classes handled at once by NumPy.
 SLICE = 4096
+#: Posts, and pairs, handled at once; runs of one key up to SHORT_RUN posts are paired together, longer ones by blocks of rows and columns.
+POSTS, SHORT_RUN, BLOCK = 1 << 16, 16, (32, 4096)
 
 _POST = "k long, cid long, meta long, b0 long, b1 long"
 #: Flags in the lowest bits of meta: lo = 0, hi = 1, the level is the class's own, the key is a rare word.
@@ -203,6 +205,103 @@ def _posts(hot: HotWords, bins: np.ndarray, best: np.ndarray):
     return run
 
 
+def _candidates(k: np.ndarray, cid: np.ndarray, meta: np.ndarray, b0: np.ndarray, b1: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of classes that share a key and pass the filters, of whole runs of equal keys in the order of k."""
+    unit = num + den
+    n = meta >> 34
+    # Words that may be apart, in 1 / unit: overlap >= num / unit * (n_x + n_y), less one word that shares its hash.
+    room = np.where(meta & RARE != 0, (den - num) * n + unit, ((meta >> 4) & ((1 << 30) - 1)) - (1 << 29))
+    own, lo, hi = meta & (OWN | RARE) != 0, meta & LO != 0, meta & HI != 0
+
+    def fits(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+        ok = (cid[x] != cid[y]) & ((small + 1) * den >= large * num) & (own[x] | own[y]) & ((lo[x] & hi[y]) | (lo[y] & hi[x]))
+        x, y = x[ok], y[ok]
+        apart = np.bitwise_count(b0[x] ^ b0[y]).astype(np.int64) + np.bitwise_count(b1[x] ^ b1[y])
+        ok = apart * unit <= room[x] + room[y]
+        return x[ok], y[ok]
+
+    start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(k)))
+    # Short runs: each row meets all after it.
+    rows = np.flatnonzero(np.repeat((size > 1) & (size <= SHORT_RUN), size))
+    left = np.repeat(start + size, size)[rows] - rows - 1
+    x = np.repeat(rows, left)
+    yield fits(x, x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(left) - left, left))
+    # Long runs: blocks of rows with side 1 against rows with side 0 of a size that may match, ascending in size.
+    for s, e in zip(start[size > SHORT_RUN].tolist(), (start + size)[size > SHORT_RUN].tolist()):
+        every = bool((lo[s:e] & hi[s:e]).all())
+        by_size = s + np.argsort(n[s:e])
+        left_rows, right_rows = (by_size, by_size) if every else (by_size[hi[by_size]], by_size[lo[by_size]])
+        if not len(left_rows) or not len(right_rows):
+            continue
+        sizes, x0, x1 = n[right_rows], b0[right_rows], b1[right_rows]
+        flat = not b1[s:e].any()
+        for i in range(0, len(left_rows), BLOCK[0]):
+            at = left_rows[i : i + BLOCK[0]]
+            first = i if every else int(np.searchsorted(sizes, n[at[0]] * num // den - 1))
+            last = int(np.searchsorted(sizes, (n[at[-1]] + 1) * den // num, "right"))
+            y0, y1, most = b0[at, None], b1[at, None], room[at].max()
+            for j in range(first, last, BLOCK[1]):
+                to = min(j + BLOCK[1], last)
+                apart = np.bitwise_count(y0 ^ x0[j:to])
+                if not flat:
+                    apart += np.bitwise_count(y1 ^ x1[j:to])
+                limit = (most + room[right_rows[j:to]].max()) // unit
+                if limit < 0:
+                    continue
+                hit = np.flatnonzero(apart <= min(limit, 255))
+                p, q = i + hit // (to - j), j + hit % (to - j)
+                if every:
+                    p, q = p[q > p], q[q > p]
+                yield fits(left_rows[p], right_rows[q])
+
+
+def _met(num: int, den: int):
+    """A mapInArrow function over posts in the order of k, all of a key in one partition: candidate pairs (a, b), a < b.
+
+    A run of equal keys is held whole (40 bytes a post); pairs are compared in blocks of bounded size and never held together.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, got, count = [], 0, [], 0
+
+        def out() -> pa.RecordBatch:
+            a, b = (np.concatenate([g[i] for g in got]) for i in (0, 1))
+            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+        def chunks() -> Iterator[list[np.ndarray]]:
+            nonlocal held, rows
+            want = POSTS
+            for b in batches:
+                held.append([np.asarray(c) for c in b.columns])
+                rows += b.num_rows
+                if rows < want:
+                    continue
+                cols = [np.concatenate(c) for c in zip(*held)]
+                cut = int(np.searchsorted(cols[0], cols[0][-1]))
+                if cut:
+                    yield [c[:cut] for c in cols]
+                held, rows = [[c[cut:] for c in cols]], rows - cut
+                want = max(POSTS, 2 * rows)
+            if rows:
+                yield [np.concatenate(c) for c in zip(*held)]
+
+        for k, cid, meta, b0, b1 in chunks():
+            for x, y in _candidates(k, cid, meta, b0.view(np.uint64), b1.view(np.uint64), num, den):
+                if len(x):
+                    got.append((cid[x], cid[y]))
+                    count += len(x)
+                if count > POSTS:
+                    yield out()
+                    got, count = [], 0
+        if got:
+            yield out()
+
+    return run
+
+
 def fetched(ids: DataFrame, sets: DataFrame) -> DataFrame:
     """Rows of sets (id, ...) of the given ids; the ids are broadcast where they are few."""
     known = ids.distinct()
@@ -263,20 +362,8 @@ def linked_classes(classes: DataFrame, texts: DataFrame, num: int, den: int, hot
     bins = np.array([r[0] for r in by_size], np.int64)
     best = np.maximum.accumulate(np.array([r[1] for r in by_size], np.int64)) if by_size else bins
     posts = given.mapInArrow(lambda it: _posts(shared.value, bins, best)(it), _POST)
-    side = lambda s: posts.select("k", *[F.col(c).alias(c + s) for c in posts.columns if c != "k"])
-    n = lambda s: F.shiftright("meta" + s, 34)
-    slack = lambda s: F.shiftright("meta" + s, 4).bitwiseAND(F.lit((1 << 30) - 1)) - (1 << 29)
-    flag = lambda s, f: F.col("meta" + s).bitwiseAND(F.lit(f)) != 0
-    apart = F.bit_count(F.col("b0_x").bitwiseXOR(F.col("b0_y"))) + F.bit_count(F.col("b1_x").bitwiseXOR(F.col("b1_y")))
-    small, large, both = F.least(n("_x"), n("_y")), F.greatest(n("_x"), n("_y")), n("_x") + n("_y")
-    # overlap >= num / (num + den) * (n_x + n_y), less one word that shares its hash, leaves this many words apart at most.
-    by_rare = flag("_x", RARE) & (apart * (num + den) <= (den - num) * both + 2 * (num + den))
-    by_hot = (flag("_x", OWN) | flag("_y", OWN)) & (apart * (num + den) <= slack("_x") + slack("_y"))
-    pairs = side("_x").join(side("_y"), "k").where(
-        (F.col("cid_x") < F.col("cid_y")) & ((small + 1) * den >= large * num) & (by_rare | by_hot)
-        & ((flag("_x", LO) & flag("_y", HI)) | (flag("_y", LO) & flag("_x", HI)))
-    )
-    pairs = materialize(pairs.select(F.col("cid_x").alias("a"), F.col("cid_y").alias("b")).distinct(), "nd-pairs")
+    met = posts.repartition("k").sortWithinPartitions("k").mapInArrow(_met(num, den), "a long, b long")
+    pairs = materialize(met.distinct(), "nd-pairs")
     return verified(pairs, classes.select(F.col("cid").alias("id"), "toks"), texts, num, den)
 
 

@@ -19,7 +19,8 @@ def _overlap_classes(df: DataFrame, id_col: str, text_col: str, split_col: str,
         F.col(id_col).cast("long").alias("id"), side.alias("side"), F.col(text_col).alias("text")
     )
     rows = spread(base, "id").select("id", "side", word_set(F.col("text")).alias("toks"))
-    rows = materialize(rows.where(F.size("toks") > 0).withColumn("sh", F.xxhash64("toks")), "so-rows")
+    # The filter comes after the write: before it, the words would be taken once for it and once more for the rows.
+    rows = materialize(rows.withColumn("sh", F.xxhash64("toks")), "so-rows").where(F.size("toks") > 0)
     classes = materialize(
         rows.groupBy("sh").agg(
             F.min("id").alias("cid"), F.min("side").alias("lo"), F.max("side").alias("hi"), F.first("toks").alias("toks")
