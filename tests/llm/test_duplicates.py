@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from weftline.llm import near_duplicates as nd
 from weftline.llm.components import connected_components
 from weftline.llm.format_duplicates import format_duplicates, format_representatives
 from weftline.llm.near_duplicates import HI, LO, OWN, RARE, _met, near_duplicate_groups
@@ -201,3 +202,38 @@ def test_posts_of_common_keys_meet_in_blocks(sides):
     posts = pa.RecordBatch.from_arrays([pa.array(c) for c in (k, cid, meta, b0, b1)], names=["k", "cid", "meta", "b0", "b1"])
     got = [b for b in _met(7, 10)(posts.slice(i, 1237) for i in range(0, m, 1237))]
     assert {p for b in got for p in zip(*(c.to_pylist() for c in b.columns))} == want and len(want) > 1000
+
+
+@pytest.mark.parametrize("shares, posts", [((1 / 4, 1 / 8), 200), ((1 / 4, 1 / 8), 40), ((1 / 4,), 0)])
+def test_pairs_that_share_no_rare_word_meet_by_warm_ones(spark, monkeypatch, shares, posts):
+    """Rare words all replaced in each edited text, words in a few and in most texts kept but some: as all pairs say, whether words are warm or not."""
+    rng = random.Random(23)
+    names, verbs = [f"n{i}" for i in range(60)], [f"c{i}" for i in range(40)]
+    texts = []
+    for i in range(90):
+        base = [f"r{i}x{j}" for j in range(5)] + rng.sample(names, 7) + rng.sample(verbs, 30)
+        for edits in (0, 1, 2, 3):
+            t = [f"r{i}x{edits}y{j}" if w[0] == "r" else w for j, w in enumerate(base)]
+            for j in rng.sample(range(5, 42), edits):
+                t[j] = rng.choice([v for v in (names if j < 12 else verbs) if v not in t])
+            texts.append(" ".join(t))
+    monkeypatch.setattr(nd, "WARM_SHARES", shares)
+    monkeypatch.setattr(nd, "WARM_POSTS", posts)
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    got = {r.id: r.group_id for r in near_duplicate_groups(df, "i", ["t"], 7, 10, hot=12).collect()}
+    want = groups(len(texts), links(texts, 7, 10))
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) < len(texts) / 2
+
+
+def test_posts_below_their_level_do_not_meet_each_other(monkeypatch):
+    """12,000 posts of one key, 10 of them at their own level: compared are these with all, not all with all."""
+    m = 12_000
+    meta = np.full(m, (50 << 34) | ((1 << 29) << 4) | LO | HI)
+    meta[::1200] |= OWN
+    b0 = np.random.default_rng(4).integers(0, 2**62, m)
+    b0[7], b0[3] = b0[1200], b0[2]  # the second two are not at their level
+    count, seen = np.bitwise_count, []
+    monkeypatch.setattr(nd.np, "bitwise_count", lambda x: seen.append(x.size) or count(x))
+    posts = pa.RecordBatch.from_arrays([pa.array(c) for c in (np.zeros(m, np.int64), np.arange(m), meta, b0, np.zeros(m, np.int64))], names=["k", "cid", "meta", "b0", "b1"])
+    got = [tuple(p.values()) for b in _met(7, 10)([posts]) for p in b.to_pylist()]
+    assert got == [(7, 1200)] and sum(seen) < 20 * m

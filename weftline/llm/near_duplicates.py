@@ -15,9 +15,12 @@ from weftline.session import spread
 from weftline.storage import materialize
 
 #: A word in more than HOT_ROOT * sqrt(classes) classes (or in words / MOST_HOT, where that is more) is hot: no join key
-#: of its own. At most MOST_HOT words are hot, which bounds what is broadcast: 28 bytes a word. A part of hot words that
+#: of its own. At most MOST_HOT words are hot, which bounds what is broadcast: 36 bytes a word. A part of hot words that
 #: more classes than that would hold by chance is a key only together with another such part.
 HOT_ROOT, MOST_HOT = 3.0, 4_000_000
+#: Hot words in up to one of WARM_SHARES of the classes are warm: join keys by twos. The largest share is taken whose keys
+#: number at most WARM_POSTS a class on average and MOST_POSTS in any class; where none does, no word is warm.
+WARM_SHARES, WARM_POSTS, MOST_POSTS = (1 / 128, 1 / 256, 1 / 512, 1 / 1024), 20, 20_000
 #: Each level allows LEVEL_STEP times the differing words of the next higher one; none is below LEAST_LEVEL.
 LEVEL_STEP, LEAST_LEVEL = 0.6, 6
 #: Candidate records up to this number are broadcast when their word sets are fetched: 8 bytes each.
@@ -27,8 +30,8 @@ SLICE = 4096
 #: Posts, and pairs, handled at once; runs of one key up to SHORT_RUN posts are paired together, longer ones by blocks of rows and columns.
 POSTS, SHORT_RUN, BLOCK = 1 << 16, 16, (32, 4096)
 
-_POST = "k long, cid long, meta long, b0 long, b1 long"
-#: Flags in the lowest bits of meta: lo = 0, hi = 1, the level is the class's own, the key is a rare word.
+_POST = "k long, cid long, meta long, b0 long, b1 long, b2 long"
+#: Flags in the lowest bits of meta: lo = 0, hi = 1, the level is the class's own, the key is a rare word or two warm ones.
 LO, HI, OWN, RARE = 1, 2, 4, 8
 
 
@@ -50,25 +53,29 @@ def _seg(ufunc: np.ufunc, v: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
+def _twos(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of every two entries of one owner, the first before the second; owner is ascending."""
+    left = np.searchsorted(owner, owner, "right") - np.arange(len(owner)) - 1
+    first = np.repeat(np.arange(len(owner)), left)
+    return first, first + np.arange(len(first)) - np.repeat(np.cumsum(left) - left, left) + 1
+
+
 class HotWords:
-    """The hot words with their counts, and what the parts of each level are expected to hold."""
+    """The hot words with their counts, and what the parts of each level are expected to hold; those in up to `warm` classes are warm."""
 
-    def __init__(self, rows: np.ndarray, classes: int, limit: int, num: int, den: int):
+    def __init__(self, rows: np.ndarray, classes: int, limit: int, num: int, den: int, warm: int = 0):
         rows = rows[np.argsort(rows[:, 0])]
         self.words = rows[:, 0].astype(np.int32)
-        self.rank = np.empty(len(rows), np.int64)
-        self.rank[np.lexsort((rows[:, 0], -rows[:, 1]))] = np.arange(len(rows))
+        self.count, self.warm = rows[:, 1], warm
+        parted = self.count > warm
+        self.rank = np.zeros(len(rows), np.int64)
+        self.rank[np.lexsort((rows[:, 0], -rows[:, 1]))] = np.arange(len(rows))  # warm ones come last
         p = np.clip(rows[:, 1] / max(1, classes), 1e-12, 1 - 1e-6)
-        self.out, self.logit = np.log1p(-p), np.log(p) - np.log1p(-p)
+        self.out, self.logit = np.where(parted, np.log1p(-p), 0), np.log(p) - np.log1p(-p)
         self.heavy, self.num, self.den = np.log(max(1, limit) / max(1, classes)), num, den
 
-    def batch(self, b: pa.RecordBatch):
-        """Of a batch of (cid, toks, ...): offsets, sizes, keys, class of each word, its index here, whether hot, and slacks.
-
-        The slack of a class is its share, in 1 / (num + den), of twice the words that may differ
-        in a pair without a common rare word: all its rare words differ. One word is added
-        because two words may have one 32-bit hash.
-        """
+    def found(self, b: pa.RecordBatch):
+        """Of a batch of (cid, toks, ...): offsets, sizes, keys, class of each word, and in how many classes it is (0 for rare), with its index here."""
         lists = b.column(1)
         off = np.asarray(lists.offsets)
         tok = np.asarray(lists.values)[off[0] : off[-1]]
@@ -76,11 +83,22 @@ class HotWords:
         n = np.diff(off)
         row = np.repeat(np.arange(len(n)), n)
         at = np.minimum(np.searchsorted(self.words, tok), max(len(self.words) - 1, 0))
-        hot = self.words[at] == tok if len(self.words) else np.zeros(len(tok), bool)
+        count = np.where(self.words[at] == tok, self.count[at], 0) if len(self.words) else np.zeros(len(tok), np.int64)
         key = mix64(tok.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-        rare = np.bincount(row[~hot], minlength=len(n))
-        slack = (self.den - self.num) * n - (self.num + self.den) * (rare - 1)
-        return off, n, key, row, at, hot, rare, slack
+        return off, n, key, row, count, at
+
+    def spare(self, n: np.ndarray, row: np.ndarray, count: np.ndarray, warm: int):
+        """Rare words of each class, how many of its warm ones make keys by twos, words spent in a pair without a common key of these, and slacks.
+
+        Such a pair has no rare word in common and one warm word at most; the others differ. The
+        slack of a class is its share, in 1 / (num + den), of twice the words that may differ
+        besides. One word is added because two words may have one 32-bit hash.
+        """
+        rare = np.bincount(row[count == 0], minlength=len(n))
+        mid = np.bincount(row[(count > 0) & (count <= warm)], minlength=len(n))
+        lack = n - -(-(self.num * n) // self.den) + 1 - rare
+        spent = rare + np.maximum(mid - 1, 0)
+        return rare, np.where(lack >= 0, np.minimum(mid, lack + 2), 0), spent, (self.den - self.num) * n - (self.num + self.den) * (spent - 1)
 
 
 def _size_bin(n: np.ndarray) -> np.ndarray:
@@ -93,17 +111,24 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(lo, SLICE)
 
 
-def _largest_slacks(hot: HotWords):
-    """A mapInArrow function: the largest slack of each bin of sizes."""
+def _largest_slacks(hot: HotWords, warm: list[int]):
+    """A mapInArrow function: for each limit of warm words the largest slack of each bin of sizes, and the keys by twos, of all and of one class at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, int] = {}
+        best: dict[tuple[int, int], list[int]] = {}
         for b in _slices(batches):
-            _, n, _, _, _, _, _, slack = hot.batch(b)
-            for k, s in zip(_size_bin(n).tolist(), slack.tolist()):
-                if s > best.get(k, -1):
-                    best[k] = s
-        yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), pa.array(list(best.values()), pa.int64())], names=["size_bin", "slack"])
+            _, n, _, row, count, _ = hot.found(b)
+            bins = _size_bin(n)
+            for i, limit in enumerate(warm):
+                _, mid, _, slack = hot.spare(n, row, count, limit)
+                twos = mid * (mid - 1) // 2
+                for k in np.unique(bins).tolist():
+                    of = bins == k
+                    old = best.get((i, k), [-1, 0, 0])
+                    best[i, k] = [max(old[0], int(slack[of].max())), old[1] + int(twos[of].sum()), max(old[2], int(twos[of].max()))]
+        rows = [(*k, *v) for k, v in best.items()]
+        cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays(cols, names=["warm", "size_bin", "slack", "posts", "most"])
 
     return run
 
@@ -126,14 +151,24 @@ def _posts(hot: HotWords, bins: np.ndarray, best: np.ndarray):
     levels = _levels(int(2 * best[-1] // unit) if len(best) else -1)
     never = -(1 << 40)
 
-    def rare_posts(n, off, key, row, is_hot, rare):
+    def rare_posts(n, off, key, row, is_rare):
         # Rare words in hash order come first in the global word order; keep those inside the prefix.
-        order = np.lexsort((key, is_hot, row))
+        order = np.lexsort((key, ~is_rare, row))
         pos = np.arange(len(key)) - off[:-1][row]
         longest = n - -(-(num * n) // den) + 2
-        keep = order[(~is_hot[order]) & (pos < longest[row])]
+        keep = order[is_rare[order] & (pos < longest[row])]
         return row[keep], key[keep]
 
+    def warm_posts(key, row, mid):
+        # All rare words differ, so the first two warm words in common, in hash order, are among the first `mid` of either class.
+        order = np.lexsort((key, row))
+        owner = row[order]
+        pos = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        order = order[pos < mid[owner]]
+        x, y = _twos(row[order])
+        with np.errstate(over="ignore"):
+            return row[order][x], mix64(key[order][x] * np.uint64(5) + key[order][y])
+
     def part_keys(g, n_parts, at_g, take, row, key, at, slot):
         """(class, key) at one level: `take` parts of each class in at_g."""
         parts = n_parts
@@ -152,38 +187,38 @@ def _posts(hot: HotWords, bins: np.ndarray, best: np.ndarray):
         yield at_g[light // parts], k[light]
         # Two parts more than words may differ are dealt: without an equal light part two weak ones are equal.
         w = np.flatnonzero(weak)
-        owner = w // parts
-        left = np.searchsorted(owner, owner, "right") - np.arange(len(w)) - 1
-        first = np.repeat(np.arange(len(w)), left)
-        step = np.arange(len(first)) - np.repeat(np.cumsum(left) - left, left) + 1
+        x, y = _twos(w // parts)
         with np.errstate(over="ignore"):
-            yield at_g[owner[first]], mix64(k[w[first]] * np.uint64(3) + k[w[first + step]])
+            yield at_g[w[x] // parts], mix64(k[w[x]] * np.uint64(3) + k[w[y]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
-            off, n, key, row, at, is_hot, rare, slack = hot.batch(b)
+            off, n, key, row, count, at = hot.found(b)
+            _, mid, spent, slack = hot.spare(n, row, count, hot.warm)
+            is_rare, is_hot = count == 0, count > hot.warm
+            is_warm = ~is_rare & ~is_hot
             sides = np.asarray(b.column(2)).astype(np.int64) * 0 + (np.asarray(b.column(2)) == 0) * LO + (np.asarray(b.column(3)) == 1) * HI
             meta = (n << 34) | ((slack + (1 << 29)) << 4) | sides
             bit = np.uint64(1) << (key & np.uint64(63))
             low = (key >> np.uint64(6)) & np.uint64(1)
             part = lambda keep: _seg(np.bitwise_xor, np.where(keep, bit, np.uint64(0)), off)
             b0, b1, hb = part(low == 0), part(low == 1), part(is_hot)
+            # b2 holds half the words of b0: the two apart say more than b0, which is compared first.
+            b2 = part((low == 0) & ((key >> np.uint64(7)) & np.uint64(1) == 0))
             cid = np.asarray(b.column(0))
 
-            def out(cls, k, m, x0, x1):
-                ints = lambda x: pa.array(x.view(np.int64))
-                return pa.RecordBatch.from_arrays([pa.array(cid[cls]), ints(k), pa.array(m), ints(x0[cls]), ints(x1[cls])], names=["cid", "k", "meta", "b0", "b1"]).select(
-                    ["k", "cid", "meta", "b0", "b1"]
-                )
+            def out(cls, k, m, *x):
+                ints = lambda v: pa.array(v.view(np.int64))
+                return pa.RecordBatch.from_arrays([ints(k), pa.array(cid[cls]), pa.array(m), *[ints(v[cls]) for v in x]], names=["k", "cid", "meta", "b0", "b1", "b2"])
 
-            cls, k = rare_posts(n, off, key, row, is_hot, rare)
-            yield out(cls, k, meta[cls] | RARE, b0, b1)
+            for cls, k in (rare_posts(n, off, key, row, is_rare), warm_posts(key[is_warm], row[is_warm], mid)):
+                yield out(cls, k, meta[cls] | RARE, b0, b1, b2)
             if not len(levels):
                 continue
             need = 2 * slack // unit
             own = np.where(slack < 0, -1, np.searchsorted(levels, need))
-            # The largest partner that can have all this class's rare words differ, and the largest slack up to that size.
-            most = ((den * n - unit * (rare - 1)) // num) + 1
+            # The largest partner that can have all these words of this class differ, and the largest slack up to that size.
+            most = ((den * n - unit * (spent - 1)) // num) + 1
             upto = np.searchsorted(bins, _size_bin(most), "right") - 1
             partner = np.where((most >= 0) & (upto >= 0), best[np.maximum(upto, 0)], never)
             hrow, hkey, hat = row[is_hot], key[is_hot], at[is_hot]
@@ -200,12 +235,12 @@ def _posts(hot: HotWords, bins: np.ndarray, best: np.ndarray):
                 slot = np.full(len(n), -1)
                 slot[at_g] = np.arange(len(at_g))
                 for cls, k in part_keys(g, d + 2, at_g, take, hrow, hkey, hat, slot):
-                    yield out(cls, k, meta[cls] | np.where(own[cls] == g, OWN, 0), hb, none)
+                    yield out(cls, k, meta[cls] | np.where(own[cls] == g, OWN, 0), hb, none, none)
 
     return run
 
 
-def _candidates(k: np.ndarray, cid: np.ndarray, meta: np.ndarray, b0: np.ndarray, b1: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _candidates(k: np.ndarray, cid: np.ndarray, meta: np.ndarray, b0: np.ndarray, b1: np.ndarray, b2: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of classes that share a key and pass the filters, of whole runs of equal keys in the order of k."""
     unit = num + den
     n = meta >> 34
@@ -217,7 +252,8 @@ def _candidates(k: np.ndarray, cid: np.ndarray, meta: np.ndarray, b0: np.ndarray
         small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
         ok = (cid[x] != cid[y]) & ((small + 1) * den >= large * num) & (own[x] | own[y]) & ((lo[x] & hi[y]) | (lo[y] & hi[x]))
         x, y = x[ok], y[ok]
-        apart = np.bitwise_count(b0[x] ^ b0[y]).astype(np.int64) + np.bitwise_count(b1[x] ^ b1[y])
+        half = b2[x] ^ b2[y]
+        apart = np.bitwise_count(half).astype(np.int64) + np.bitwise_count(half ^ b0[x] ^ b0[y]) + np.bitwise_count(b1[x] ^ b1[y])
         ok = apart * unit <= room[x] + room[y]
         return x[ok], y[ok]
 
@@ -228,15 +264,11 @@ def _candidates(k: np.ndarray, cid: np.ndarray, meta: np.ndarray, b0: np.ndarray
     left = np.repeat(start + size, size)[rows] - rows - 1
     x = np.repeat(rows, left)
     yield fits(x, x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(left) - left, left))
-    # Long runs: blocks of rows with side 1 against rows with side 0 of a size that may match, ascending in size.
-    for s, e in zip(start[size > SHORT_RUN].tolist(), (start + size)[size > SHORT_RUN].tolist()):
-        every = bool((lo[s:e] & hi[s:e]).all())
-        by_size = s + np.argsort(n[s:e])
-        left_rows, right_rows = (by_size, by_size) if every else (by_size[hi[by_size]], by_size[lo[by_size]])
-        if not len(left_rows) or not len(right_rows):
-            continue
+    def blocks(left_rows: np.ndarray, right_rows: np.ndarray, every: bool, flat: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows ascending in size against rows of a size that may match; `every`: both are the same rows, each two meet once."""
+        if len(left_rows) > len(right_rows):
+            left_rows, right_rows = right_rows, left_rows
         sizes, x0, x1 = n[right_rows], b0[right_rows], b1[right_rows]
-        flat = not b1[s:e].any()
         for i in range(0, len(left_rows), BLOCK[0]):
             at = left_rows[i : i + BLOCK[0]]
             first = i if every else int(np.searchsorted(sizes, n[at[0]] * num // den - 1))
@@ -256,11 +288,23 @@ def _candidates(k: np.ndarray, cid: np.ndarray, meta: np.ndarray, b0: np.ndarray
                     p, q = p[q > p], q[q > p]
                 yield fits(left_rows[p], right_rows[q])
 
+    # Long runs: rows at their own level against each other and all others, side 1 against side 0.
+    for s, e in zip(start[size > SHORT_RUN].tolist(), (start + size)[size > SHORT_RUN].tolist()):
+        flat = not b1[s:e].any()
+        by_size = s + np.argsort(n[s:e])
+        mine, rest = by_size[own[by_size]], by_size[~own[by_size]]
+        if (lo[s:e] & hi[s:e]).all():
+            yield from blocks(mine, mine, True, flat)
+            yield from blocks(mine, rest, False, flat)
+        else:
+            yield from blocks(mine[hi[mine]], by_size[lo[by_size]], False, flat)
+            yield from blocks(rest[hi[rest]], mine[lo[mine]], False, flat)
+
 
 def _met(num: int, den: int):
     """A mapInArrow function over posts in the order of k, all of a key in one partition: candidate pairs (a, b), a < b.
 
-    A run of equal keys is held whole (40 bytes a post); pairs are compared in blocks of bounded size and never held together.
+    A run of equal keys is held whole (48 bytes a post); pairs are compared in blocks of bounded size and never held together.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,8 +332,9 @@ def _met(num: int, den: int):
             if rows:
                 yield [np.concatenate(c) for c in zip(*held)]
 
-        for k, cid, meta, b0, b1 in chunks():
-            for x, y in _candidates(k, cid, meta, b0.view(np.uint64), b1.view(np.uint64), num, den):
+        for k, cid, meta, *bits in chunks():
+            b0, b1, b2 = [b.view(np.uint64) for b in bits] + [np.zeros(len(k), np.uint64)] * (3 - len(bits))
+            for x, y in _candidates(k, cid, meta, b0, b1, b2, num, den):
                 if len(x):
                     got.append((cid[x], cid[y]))
                     count += len(x)
@@ -342,9 +387,11 @@ def linked_classes(classes: DataFrame, texts: DataFrame, num: int, den: int, hot
     texts (id, words) gives the words of a class's representative.
 
     Exact, with no limit on the size of a group. Words are counted over classes and are rare or hot
-    (in more than `hot` classes, by default HOT_ROOT times the root of their number). Two classes that reach num/den and share a rare word share one
-    inside both prefixes (rare words first). Two that share none differ in all their rare words,
-    which leaves a bounded number d of hot words that may differ; the hot words are dealt into
+    (in more than `hot` classes, by default HOT_ROOT times the root of their number); the less common hot ones are warm.
+    Two classes that reach num/den and share a rare word share one
+    inside both prefixes (rare words first), and two that share warm words only share two of them inside both.
+    Others differ in all their rare and all but one of their warm words,
+    which leaves a bounded number d of other words that may differ; these are dealt into
     d + 2 parts by their rank, so at least two parts are equal, empty ones included. A part that few
     classes hold by chance is a key; the others are keys by twos, so no key is common only because
     its words are. d is half from either class: each pair meets at the level of the class that
@@ -356,9 +403,15 @@ def linked_classes(classes: DataFrame, texts: DataFrame, num: int, den: int, hot
     limit = hot or max(int(HOT_ROOT * rows**0.5), (words or 0) // MOST_HOT)
     hot_rows = classes.select(F.explode("toks").alias("t")).groupBy("t").count().where(F.col("count") > limit)
     found = np.array([tuple(r) for r in hot_rows.toLocalIterator()], np.int64).reshape(-1, 2)
-    shared = spark.sparkContext.broadcast(HotWords(found, rows, limit, num, den))
-    slacks = given.mapInArrow(lambda it: _largest_slacks(shared.value)(it), "size_bin int, slack long")
-    by_size = sorted(tuple(r) for r in slacks.groupBy("size_bin").agg(F.max("slack")).collect())
+    words_of = spark.sparkContext.broadcast(HotWords(found, rows, limit, num, den))
+    warm = sorted({w for share in WARM_SHARES if (w := int(share * rows)) > limit}, reverse=True) + [0]
+    slacks = given.mapInArrow(lambda it: _largest_slacks(words_of.value, warm)(it), "warm int, size_bin int, slack long, posts long, most long")
+    per = [tuple(r) for r in slacks.groupBy("warm", "size_bin").agg(F.max("slack"), F.sum("posts"), F.max("most")).collect()]
+    words_of.unpersist()
+    few = lambda i: sum(r[3] for r in per if r[0] == i) <= WARM_POSTS * rows and all(r[4] <= MOST_POSTS for r in per if r[0] == i)
+    level = next(i for i in range(len(warm)) if few(i))
+    shared = spark.sparkContext.broadcast(HotWords(found, rows, limit, num, den, warm[level]))
+    by_size = sorted((r[1], r[2]) for r in per if r[0] == level)
     bins = np.array([r[0] for r in by_size], np.int64)
     best = np.maximum.accumulate(np.array([r[1] for r in by_size], np.int64)) if by_size else bins
     posts = given.mapInArrow(lambda it: _posts(shared.value, bins, best)(it), _POST)
